@@ -17,6 +17,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id of the documents labelled good and not toxic."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and toxic = 0").select("doc_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellwright.llm.simhash import near_duplicates
 
@@ -31,6 +36,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellwright.llm.quality import scored
+
+    out = scored(read_documents(spark, sf_dir), trusted_ids(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellwright.llm.packing import pack
 

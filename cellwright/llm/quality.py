@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +65,13 @@ def _bucket(h: Column, buckets: int) -> Column:
     return F.pmod(h, F.lit(buckets)).cast("int")
 
 
-def weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int, most_trusted: int) -> DataFrame:
-    """One row: `w`, array of log(p_target / p_raw) by bucket, add-one smoothed multinomials of hashed words and word pairs.
+def weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int, most_trusted: int, prior: float) -> DataFrame:
+    """One row: `w`, array of log(p_target / p_raw) by bucket, for multinomials over hashed words and word pairs.
 
-    The raw multinomial counts every document; the target one the documents of up to
-    `most_trusted` trusted ids (those of the smallest hash), the only bounded sample. Counts are
+    The raw multinomial counts every document, and is scaled to the target's size f; the target
+    one counts the documents of up to `most_trusted` trusted ids (those of the smallest hash), the
+    only bounded sample. Both get `prior` counts a bucket: w = log((target + prior) / (f raw + prior)),
+    so a rare n-gram, which tells nothing, weighs nothing at any size of the corpus. Counts are
     partial aggregates over `buckets` keys. Without any trusted document all weights are 0.
     """
     ids = trusted.select(F.col(id_col).alias("__id")).filter("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(most_trusted)
@@ -79,11 +83,21 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buc
     spark = docs.sparkSession
     every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     gathered = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("b"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
-    ratio = lambda x: F.log((x["target"] + 1) / (F.col("n_target") + buckets)) - F.log((x["raw"] + 1) / (F.col("n_raw") + buckets))
-    return gathered.select(F.transform("b", lambda x: F.when(F.col("n_target") == 0, F.lit(0.0)).otherwise(ratio(x))).alias("w"))
+    scale = F.when(F.col("n_raw") > 0, F.col("n_target") / F.col("n_raw")).otherwise(0.0)
+    return gathered.withColumn("f", scale).select(F.transform("b", lambda x: F.log((x["target"] + prior) / (F.col("f") * x["raw"] + prior))).alias("w"))
+
+
+def _constant(one: DataFrame, kind: str) -> Column:
+    """The value of a one-row, one-column table as a constant: a session variable, for subqueries may not stand in lambdas."""
+    spark, name = one.sparkSession, f"cellwright_{uuid.uuid4().hex}"
+    one.createOrReplaceTempView(name)
+    spark.sql(f"declare or replace variable {name} {kind}")
+    spark.sql(f"set variable {name} = (select * from {name})")
+    spark.catalog.dropTempView(name)
+    return F.expr(f"session.{name}")
 
 
-def scored(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, threshold: float = -0.1, most_trusted: int = 16384) -> DataFrame:
+def scored(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, threshold: float = -0.08, most_trusted: int = 16384, prior: float = 16.0) -> DataFrame:
     """docs with the counts of `measured`, `score` and `kept`.
 
     score: the mean weight of the document's hashed words and word pairs (see `weights`), that is
@@ -92,15 +106,18 @@ def scored(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     has no words and fails; a null id is never trusted. Repeated rows are judged each; an empty
     table gives an empty result. Columns of docs that have a result's name are replaced.
     """
-    w = weights(docs, trusted, id_col, text_col, buckets, most_trusted).scalar()
+    w = _constant(weights(docs, trusted, id_col, text_col, buckets, most_trusted, prior), "array<double>")
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     base = measured(docs.drop(*[c for c in made if c in docs.columns and c not in (id_col, text_col)]), text_col)
-    at = lambda h: F.get(w, _bucket(h, buckets))  # noqa: E731  the subquery's one array, never a column of each row
     n = F.size("__h")
-    total = F.aggregate(
-        F.sequence(F.lit(0), n - 1),
-        F.lit(0.0),
-        lambda s, i: s + at(F.get("__h", i)) + F.when(i + 1 < n, at(F.xxhash64(F.get("__h", i), F.get("__h", i + 1)))).otherwise(0.0),
-    )
-    out = base.withColumn("score", F.when(n > 0, total / (2 * n - 1)))
+
+    def total(w: Column) -> Column:
+        at = lambda h: F.get(w, _bucket(h, buckets))
+        return F.aggregate(
+            F.sequence(F.lit(0), n - 1),
+            F.lit(0.0),
+            lambda s, i: s + at(F.get("__h", i)) + F.when(i + 1 < n, at(F.xxhash64(F.get("__h", i), F.get("__h", i + 1)))).otherwise(0.0),
+        )
+
+    out = base.withColumn("score", F.when(n > 0, total(w) / (2 * n - 1)))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))).drop("__h")

@@ -43,6 +43,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellwright.llm.lm import score
+
+    return score(read_documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellwright.llm.packing import pack
 

@@ -49,6 +49,22 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read_documents(spark, sf_dir))
 
 
+def _only(k: int):
+    """A lambda that keeps k and turns all else into null (a default argument would be taken for the index)."""
+    return lambda x: F.when(x == k, x)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellwright.llm.pii import KINDS, personal_data
+
+    out = personal_data(read_documents(spark, sf_dir).select("doc_id", "text"))
+    kinds = F.col("base.kind")
+    many = [F.size(F.array_compact(F.transform(kinds, _only(k)))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    names = F.array(*[F.lit(k) for k in KINDS])
+    joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+    return out.select("doc_id", *many, "base_sha256", joined.alias("spans"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellwright.llm.packing import pack
 

@@ -17,6 +17,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellwright.llm.spm import encode
+
+    docs = read_documents(spark, sf_dir)
+    out = encode(docs.select(F.struct("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")).alias("key"), "text"), tokenizer_path("piece_bpe_32k.model"), id_col="key")
+    return out.select("key.doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"), (F.crc32("decoded") == F.col("key.crc")).alias("lossless"))
+
+
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id of the documents labelled good and not toxic."""
     return spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and toxic = 0").select("doc_id")
@@ -42,6 +50,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read_documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellwright.llm.linededup import dedup_lines
+
+    return dedup_lines(read_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellwright.llm.quality import scored
 
@@ -83,4 +97,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from cellwright.llm import linededup
+
+    return {"op6_line_dedup": linededup.ORACLE_SQL}

@@ -55,10 +55,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 #: The same rule for DuckDB, comparing the lines themselves.
 ORACLE_SQL = """
 WITH docs AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
-win AS (SELECT doc_id, text, unnest(range(1, len(lines) - 1)) AS at, lines FROM docs WHERE len(lines) >= 3),
-named AS (SELECT doc_id, text, at, lines[at] || chr(10) || lines[at + 1] || chr(10) || lines[at + 2] AS w FROM win),
-ranked AS (SELECT doc_id, text, at, row_number() OVER (PARTITION BY w ORDER BY doc_id, at) AS r FROM named),
-gone AS (SELECT DISTINCT doc_id, text, at + k AS i FROM ranked, (VALUES (0), (1), (2)) AS v(k) WHERE r > 1),
+win AS (SELECT doc_id, text, unnest(range(1, len(lines) - 1)) AS pos, lines FROM docs WHERE len(lines) >= 3),
+named AS (SELECT doc_id, text, pos, lines[pos] || chr(10) || lines[pos + 1] || chr(10) || lines[pos + 2] AS w FROM win),
+ranked AS (SELECT doc_id, text, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS r FROM named),
+gone AS (SELECT DISTINCT doc_id, text, pos + k AS i FROM ranked, (VALUES (0), (1), (2)) AS v(k) WHERE r > 1),
 line AS (SELECT doc_id, text, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS l FROM docs),
 kept AS (SELECT a.doc_id, a.text, count(*) AS n_lines, count(g.i) AS n_removed,
   coalesce(string_agg(a.l, chr(10) ORDER BY a.i) FILTER (WHERE g.i IS NULL), '') AS new

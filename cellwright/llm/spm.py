@@ -192,5 +192,5 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7, str
             )
 
     key = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(docs[id_col].cast("string"), F.lit("0"))), F.lit(streams)).cast("int")
-    chosen = docs.select(docs[id_col].alias(id_col), key.alias("key"), docs[text_col].cast("string").alias("text"))
+    chosen = docs.select(docs[id_col].alias(id_col), key.alias("__stream"), docs[text_col].cast("string").alias("text"))
     return chosen.mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_ids long, decoded binary")

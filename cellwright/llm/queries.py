@@ -25,6 +25,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key.doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"), (F.crc32("decoded") == F.col("key.crc")).alias("lossless"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellwright.llm.licenses import scan
+
+    out = scan(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.array_join("sentences", ",").alias("sentences"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id of the documents labelled good and not toxic."""
     return spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and toxic = 0").select("doc_id")
@@ -97,6 +104,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from cellwright.llm import linededup
+    from cellwright.llm import licenses, linededup
 
-    return {"op6_line_dedup": linededup.ORACLE_SQL}
+    return {"op2_licenses": licenses.oracle_sql(), "op6_line_dedup": linededup.ORACLE_SQL}

@@ -1,15 +1,497 @@
-"""The registered queries of the comparison engine, with their SQL."""
+"""The registered queries of the comparison engine, each with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cellwright import models as m
+from cellwright.config import ColumnRule, Config, DateOptions, KeyOptions, NumericOptions, StringOptions
+from cellwright.functions import booleans, dates, numbers, text
+from cellwright.functions.classify import plan
+from cellwright.operators import align, anomaly, detail, keys, profile, rows
+from cellwright.plans.snapshots import COLUMNS, SNAPSHOTS, _CLEAN, _DAY, _NUM, cells_sql, orders_config, orders_plans, orders_snapshots, table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.with_cells(_pairs(spark, sf_dir), orders_plans())
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = orders_snapshots(spark, sf_dir)
+    key = keys.key(["id"], KeyOptions())
+    return rows.paired(rows.side(before, key, COLUMNS, "b"), rows.side(after, key, COLUMNS, "a"))
+
+
+def _detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detail.diff_detail(_cells(spark, sf_dir))
+
+
+_CELLS = cells_sql()
+_WIDE = text._WIDE + text._MINUS
+_NARROW = (text._NARROW + "-" * len(text._MINUS)).replace("'", "''")
+_WITH = f"WITH {SNAPSHOTS}"
+
+# ---- cells
+
+
+@query(f"{_CELLS} SELECT column_name, status, count(*) AS cells FROM cells GROUP BY ALL")
+def cell_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detail.cell_counts(_cells(spark, sf_dir))
+
+
+@query(f"{_CELLS} SELECT pair_id, id AS row_key, b_row, a_row, column_name, column_type, br AS before_raw, ar AS after_raw, bs AS before_norm, as_ AS after_norm, status, round(abs_diff, 6) AS abs_diff, round(rel_diff, 6) AS rel_diff FROM cells WHERE status <> 'EQUAL'")
+def diff_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _detail(spark, sf_dir)
+    return d.select(F.col("__pair_id").alias("pair_id"), F.col("__key").alias("row_key"), F.col("__b_row").alias("b_row"), F.col("__a_row").alias("a_row"), "column_name", "column_type", "before_raw", "after_raw", "before_norm", "after_norm", "status", F.round("abs_diff", 6).alias("abs_diff"), F.round("rel_diff", 6).alias("rel_diff"))
+
+
+_RANK = "CASE status WHEN 'TYPE_MISMATCH' THEN 0 WHEN 'VALUE_DIFF' THEN 1 WHEN 'NULL_MISMATCH' THEN 2 WHEN 'FORMAT_ONLY' THEN 3 ELSE 4 END"
+
+
+@query(f"{_CELLS} SELECT pair_id, column_name, status, round(abs_diff, 6) AS abs_diff FROM cells WHERE status <> 'EQUAL' ORDER BY {_RANK}, abs_diff DESC NULLS LAST, column_name, b_row, a_row LIMIT 100")
+def diff_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's first 100 differences: the limit is the feature."""
+    return detail.shown(_detail(spark, sf_dir), most=100).select(F.col("__pair_id").alias("pair_id"), "column_name", "status", F.round("abs_diff", 6).alias("abs_diff"))
+
+
+@query(f"{_CELLS} SELECT pair_id, left(coalesce(br, '<NULL>'), 4) AS before_raw, left(coalesce(ar, '<NULL>'), 4) AS after_raw FROM cells WHERE status IN ('VALUE_DIFF', 'NULL_MISMATCH') AND column_name = 'price'")
+def diff_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = detail.shown(_detail(spark, sf_dir), [m.VALUE_DIFF, m.NULL_MISMATCH], "price", by_size=False, chars=4)
+    return d.select(F.col("__pair_id").alias("pair_id"), "before_raw", "after_raw")
+
+
+@query(f"{_CELLS} SELECT status, CASE status WHEN 'FORMAT_ONLY' THEN 'format only' WHEN 'VALUE_DIFF' THEN 'value differs' WHEN 'NULL_MISMATCH' THEN 'null on one side' ELSE 'cannot be read as its type' END AS label, count(*) AS cells FROM cells WHERE status <> 'EQUAL' GROUP BY ALL")
+def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _detail(spark, sf_dir).groupBy("status", detail.label(F.col("status")).alias("label")).agg(F.count("*").alias("cells"))
+
+
+@query(
+    f"""{_CELLS}, n AS (SELECT count(*) AS matched FROM pairs WHERE b_row IS NOT NULL AND a_row IS NOT NULL),
+s AS (SELECT column_name, count(*) FILTER (WHERE status = 'EQUAL') AS equal, count(*) FILTER (WHERE status = 'FORMAT_ONLY') AS format_only, count(*) FILTER (WHERE status = 'VALUE_DIFF') AS value_diff,
+ count(*) FILTER (WHERE status = 'NULL_MISMATCH') AS null_mismatch, count(*) FILTER (WHERE status = 'TYPE_MISMATCH') AS type_mismatch FROM cells GROUP BY 1)
+SELECT column_name, matched, equal, format_only, value_diff, null_mismatch, type_mismatch, value_diff + null_mismatch + type_mismatch AS severe,
+ round((value_diff + null_mismatch + type_mismatch) / matched, 9) AS severe_rate, round(format_only / matched, 9) AS format_rate FROM s, n"""
+)
+def column_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every matched row has one cell in each column, so the cells of a column are the matched rows."""
+    out = detail.column_summary(detail.cell_counts(_cells(spark, sf_dir)), F.col("equal") + F.col("format_only") + F.col("value_diff") + F.col("null_mismatch") + F.col("type_mismatch"))
+    return out.withColumn("severe_rate", F.round("severe_rate", 9)).withColumn("format_rate", F.round("format_rate", 9))
+
+
+@query(f"{_CELLS} SELECT column_name, count(*) AS total, count(*) FILTER (WHERE br <> ar AND lower(br) = lower(ar)) AS case_only, count(*) FILTER (WHERE br <> ar AND replace(br, ' ', '') = replace(ar, ' ', '')) AS whitespace_only, count(*) FILTER (WHERE column_type = 'numeric') AS numeric_format FROM cells WHERE status = 'FORMAT_ONLY' GROUP BY 1")
+def format_only_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detail.format_breakdown(_detail(spark, sf_dir))
+
+
+# ---- rows
+
+_ROW = f"""{_CELLS}, n AS (SELECT pair_id, count(*) FILTER (WHERE status <> 'EQUAL') AS changed_columns, count(*) FILTER (WHERE status IN ('VALUE_DIFF', 'NULL_MISMATCH', 'TYPE_MISMATCH')) AS severe_columns, count(*) FILTER (WHERE status = 'FORMAT_ONLY') AS format_only_columns FROM cells GROUP BY 1),
+rs AS (SELECT p.pair_id, p.id AS row_key, CASE WHEN a_row IS NULL THEN 'ONLY_IN_BEFORE' WHEN b_row IS NULL THEN 'ONLY_IN_AFTER' WHEN changed_columns > 0 THEN 'CHANGED' ELSE 'SAME' END AS row_status,
+ coalesce(changed_columns, 0) AS changed_columns, coalesce(severe_columns, 0) AS severe_columns, coalesce(format_only_columns, 0) AS format_only_columns FROM pairs p LEFT JOIN n USING (pair_id))"""
+
+
+@query(f"{_ROW} SELECT * FROM rs")
+def row_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = rows.row_status(_cells(spark, sf_dir))
+    return r.select(F.col("__pair_id").alias("pair_id"), F.col("__key").alias("row_key"), "row_status", "changed_columns", "severe_columns", "format_only_columns")
+
+
+@query(f"{_ROW} SELECT row_status, count(*) AS n FROM rs GROUP BY 1")
+def row_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.row_status(_cells(spark, sf_dir)).groupBy("row_status").agg(F.count("*").alias("n"))
+
+
+@query(f"{_ROW} SELECT count(*) FILTER (WHERE row_status IN ('SAME', 'CHANGED')) AS matched, sum(severe_columns) AS severe, sum(format_only_columns) AS format_only, count(*) FILTER (WHERE row_status = 'ONLY_IN_BEFORE') AS only_in_before, count(*) FILTER (WHERE row_status = 'ONLY_IN_AFTER') AS only_in_after, sum(severe_columns) = 0 AND count(*) FILTER (WHERE row_status LIKE 'ONLY%') = 0 AS consistent FROM rs")
+def dataset_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = rows.row_status(_cells(spark, sf_dir)).agg(
+        F.count_if(F.col("row_status").isin(m.SAME, m.CHANGED)).alias("matched"),
+        F.sum("severe_columns").alias("severe"),
+        F.sum("format_only_columns").alias("format_only"),
+        F.count_if(F.col("row_status") == m.ONLY_IN_BEFORE).alias("only_in_before"),
+        F.count_if(F.col("row_status") == m.ONLY_IN_AFTER).alias("only_in_after"),
+    )
+    return r.withColumn("consistent", (F.col("severe") == 0) & (F.col("only_in_before") + F.col("only_in_after") == 0))
+
+
+@query(f"{_CELLS} SELECT pair_id, id AS row_key, b_row, a_row FROM pairs")
+def pair_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select(F.col("__pair_id").alias("pair_id"), F.col("__key").alias("row_key"), F.col("__b_row").alias("b_row"), F.col("__a_row").alias("a_row"))
+
+
+@query(f"{_CELLS} SELECT id AS row_key, b_row AS row_id, b_price AS price, b_status AS status FROM pairs WHERE a_row IS NULL")
+def only_in_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.one_sided(_pairs(spark, sf_dir), "b", ["price", "status"]).withColumnRenamed("__key", "row_key")
+
+
+@query(f"{_CELLS} SELECT id AS row_key, a_row AS row_id, a_price AS price, a_status AS status FROM pairs WHERE b_row IS NULL")
+def only_in_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.one_sided(_pairs(spark, sf_dir), "a", ["price", "status"]).withColumnRenamed("__key", "row_key")
+
+
+@query("SELECT c_custkey AS row_key, c_custkey - 1 AS b_row, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey - 1 END AS a_row FROM customer")
+def row_index_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows paired by their index, here the customer's number less one; the side after lacks every third."""
+    c = table(spark, sf_dir, "customer").withColumn("__row_id", F.col("c_custkey") - 1)
+    index = F.col("__row_id").cast("string")
+    p = rows.paired(rows.side(c, index, ["c_custkey"], "b"), rows.side(c.filter("c_custkey % 3 <> 0"), index, ["c_custkey"], "a"), unique=True)
+    return p.select((F.col("__key").cast("long") + 1).alias("row_key"), F.col("__b_row").alias("b_row"), F.col("__a_row").alias("a_row"))
+
+
+_ORDER = "l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    return line.withColumn("__key", keys.key(["l_orderkey", "l_linenumber"], KeyOptions())).withColumn("__row_id", F.struct(*_ORDER.split(", ")))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_ORDER}) AS INTEGER) AS occurrence FROM lineitem")
+def occurrence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.ranked(_lines(spark, sf_dir)).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.col("__rank").alias("occurrence"))
+
+
+@query(
+    f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_ORDER}) AS r FROM lineitem),
+a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_ORDER}) AS r FROM lineitem WHERE l_partkey % 10 <> 0)
+SELECT coalesce(b.l_orderkey, a.l_orderkey) || chr(31) || coalesce(b.l_linenumber, a.l_linenumber) AS row_key, CAST(coalesce(b.r, a.r) AS INTEGER) AS occurrence, b.l_partkey AS b_part, a.l_partkey AS a_part
+FROM b FULL OUTER JOIN a ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber AND b.r = a.r"""
+)
+def dup_key_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = _lines(spark, sf_dir)
+    b = rows.ranked(line.select("__key", "__row_id", F.col("l_partkey").alias("b_part")))
+    a = rows.ranked(line.filter("l_partkey % 10 <> 0").select("__key", "__row_id", F.col("l_partkey").alias("a_part")))
+    return b.drop("__row_id").join(a.drop("__row_id"), ["__key", "__rank"], "full_outer").select(F.col("__key").alias("row_key"), F.col("__rank").alias("occurrence"), "b_part", "a_part")
+
+
+@query("SELECT l_orderkey || chr(31) || l_linenumber AS row_key, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def dup_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.duplicate_groups(_lines(spark, sf_dir)).select(F.col("__key").alias("row_key"), F.col("rows").alias("n"))
+
+
+@query("SELECT l_orderkey || chr(31) || l_linenumber AS row_key, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, row_key LIMIT 5")
+def dup_key_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most frequent keys: the limit is the feature."""
+    return rows.duplicate_groups(_lines(spark, sf_dir)).orderBy(F.desc("rows"), "__key").limit(5).select(F.col("__key").alias("row_key"), F.col("rows").alias("n"))
+
+
+@query("SELECT coalesce(lower(trim(c_name)), chr(0)) || chr(31) || coalesce(lower(trim(c_mktsegment)), chr(0)) AS row_key, c_custkey FROM customer")
+def composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(keys.key(["c_name", "c_mktsegment"], KeyOptions(case_insensitive=True)).alias("row_key"), "c_custkey")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS row_key, c_custkey FROM customer")
+def key_numeric_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys spelt 0042, 42.0 or 1,042 are the same number."""
+    k = F.col("c_custkey")
+    spelt = F.when(k % 3 == 0, F.concat(F.lit("00"), k)).when(k % 3 == 1, F.concat(k, F.lit(".0"))).otherwise(F.format_number(k, 0))
+    return table(spark, sf_dir, "customer").select(spelt.alias("k"), k).select(keys.key(["k"], KeyOptions(numeric_normalize=True)).alias("row_key"), "c_custkey")
+
+
+@query("SELECT 'o_orderkey' AS columns, count(*) AS total, count(DISTINCT o_orderkey) AS uniq, count(*) FILTER (WHERE o_orderkey IS NULL) AS with_null FROM orders UNION ALL SELECT 'l_orderkey,l_linenumber', count(*), count(DISTINCT (l_orderkey, l_linenumber)), 0 FROM lineitem")
+def key_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [(",".join(c), *keys.uniqueness(table(spark, sf_dir, t), c, KeyOptions())) for t, c in (("orders", ["o_orderkey"]), ("lineitem", ["l_orderkey", "l_linenumber"]))]
+    return spark.createDataFrame(found, "columns string, total long, uniq long, with_null long")
+
+
+@query("SELECT 'customer' AS t, 'c_name' AS detected UNION ALL SELECT 'orders', 'o_orderkey' UNION ALL SELECT 'nation', 'n_nationkey'")
+def detect_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = []
+    for name in ("customer", "orders", "nation"):
+        df = table(spark, sf_dir, name)
+        columns = [c for c in df.columns if "price" not in c and "acctbal" not in c]
+        found.append((name, ",".join(keys.detect(df, profile.profile(df, columns), KeyOptions()))))
+    return spark.createDataFrame(found, "t string, detected string")
+
+
+# ---- texts, numbers, dates, booleans
+
+
+@query(f"SELECT doc_id, md5(trim(regexp_replace(translate(text, '{_WIDE}', '{_NARROW}'), '[ \\t\\n\\f\\r\\x{{00A0}}\\x{{3000}}]+', ' ', 'g'))) AS norm_md5, length(trim(regexp_replace(translate(text, '{_WIDE}', '{_NARROW}'), '[ \\t\\n\\f\\r\\x{{00A0}}\\x{{3000}}]+', ' ', 'g'))) AS n FROM documents")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    norm = text.normalize(F.col("text"), StringOptions())
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(norm).alias("norm_md5"), F.length(norm).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, md5(lower(regexp_replace(text, '[ \\t\\n\\f\\r\\x{00A0}\\x{3000}]+', '', 'g'))) AS norm_md5 FROM documents")
+def ignore_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    norm = text.normalize(F.col("text"), StringOptions(ignore_whitespace=True, case_insensitive=True, fullwidth_to_halfwidth=False))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(norm).alias("norm_md5"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '^[ \\t\\n\\f\\r]+|[ \\t\\n\\f\\r]+$', '', 'g')) AS norm_md5 FROM documents")
+def trim_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    norm = text.normalize(F.col("text"), StringOptions(collapse_whitespace=False, fullwidth_to_halfwidth=False))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(norm).alias("norm_md5"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def fullwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names spelt in full width come back in half width."""
+    wide = F.translate("n_name", text._NARROW, text._WIDE)
+    return table(spark, sf_dir, "nation").select("n_nationkey", text.half_width(wide).alias("n_name"))
+
+
+@query(f"{_WITH} SELECT rid, price, lower(trim(price)) IN ('', 'n/a') AS is_null FROM a")
+def null_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = orders_snapshots(spark, sf_dir)[1]
+    return a.select(F.col("__row_id").alias("rid"), "price", text.is_null(F.col("price"), text.normalize(F.col("price"), StringOptions()), Config().null_tokens()).alias("is_null"))
+
+
+@query(f"{_WITH} SELECT rid, round({_NUM.format(x=_CLEAN.format(x='price'))}, 2) AS value FROM a")
+def normalize_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = orders_snapshots(spark, sf_dir)[1]
+    return a.select(F.col("__row_id").alias("rid"), F.round(numbers.parse(F.col("price"), NumericOptions()), 2).alias("value"))
+
+
+_CENTS = F.round(F.col("o_totalprice") * 100).cast("long")
+
+
+@query("SELECT o_orderkey, -CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders")
+def accounting_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spelt = F.concat(F.lit("($ "), F.format_number(_CENTS, 0), F.lit(")"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.parse(spelt, NumericOptions()).cast("long").alias("cents"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS DOUBLE) / 100 ELSE CAST(o_orderkey AS DOUBLE) END AS value FROM orders")
+def percent_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only spellings with a percent sign are divided."""
+    k = F.col("o_orderkey")
+    spelt = F.when(k % 2 == 0, F.concat(k, F.lit("%"))).otherwise(k.cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.parse(spelt, NumericOptions(percent_mode="ratio")).alias("value"))
+
+
+@query("SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders")
+def european_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spelt = F.concat(F.replace(F.format_number(F.floor(_CENTS / 100), 0), F.lit(","), F.lit(".")), F.lit(","), F.lpad((_CENTS % 100).cast("string"), 2, "0"))
+    value = numbers.parse(spelt, NumericOptions(decimal_separator=","))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(value * 100).cast("long").alias("cents"))
+
+
+@query(f"{_WITH} SELECT rid, {_DAY.format(x='odate')} AS value FROM a")
+def parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders_snapshots(spark, sf_dir)[1].select(F.col("__row_id").alias("rid"), dates.parse(F.col("odate")).alias("value"))
+
+
+@query("SELECT event_id, date_trunc('minute', ts) AS minute, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day FROM events")
+def date_granularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = dates.parse(F.date_format("ts", "yyyy/M/d HH:mm:ss.SSSSSS"))
+    return table(spark, sf_dir, "events").select("event_id", dates.truncate(value, "minute").alias("minute"), dates.truncate(value, "date").alias("day"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'FORMAT_ONLY' WHEN 1 THEN 'FORMAT_ONLY' ELSE 'VALUE_DIFF' END AS status, CASE event_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 2.0 ELSE 7.0 END AS seconds FROM events")
+def date_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times 0, 2 and 7 seconds apart, under a tolerance of 5."""
+    c = Config()
+    c.compare.date = DateOptions(tolerance_seconds=5)
+    p = plan(c, "b", "a", m.DATE)
+    late = F.expr("ts + make_dt_interval(0, 0, 0, array(0, 2, 7)[cast(event_id % 3 as int)])")
+    e = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("b"), F.date_format(late, "yyyy/MM/dd HH:mm:ss.SSSSSS").alias("a"))
+    return e.select("event_id", F.explode(F.array(p.cell(F.col("b"), F.col("a")))).alias("c")).select("event_id", "c.status", F.col("c.abs_diff").alias("seconds"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE quality = 1 END AS value FROM labels")
+def boolean_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    way = (F.col("doc_id") % 7).cast("int")
+    true, false = F.array(*[F.lit(x) for x in ("?", "Y", "是", "true", "1", "T", "真")]), F.array(*[F.lit(x) for x in ("?", "N", "否", "false", "0", "F", "假")])
+    spelt = F.when(F.col("quality") == 1, F.get(true, way)).otherwise(F.get(false, way))
+    return table(spark, sf_dir, "labels").select("doc_id", booleans.parse(spelt).alias("value"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'EQUAL' WHEN o_orderkey % 4 = 1 THEN 'FORMAT_ONLY' WHEN o_orderkey % 4 = 2 AND 5 <= 0.01 * (o_orderkey + 5) THEN 'FORMAT_ONLY' WHEN o_orderkey % 4 = 3 AND 50 <= 0.01 * (o_orderkey + 50) THEN 'FORMAT_ONLY' ELSE 'VALUE_DIFF' END AS status FROM orders")
+def numeric_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers 0, 1, 5 and 50 apart, under an absolute tolerance of 1 and a relative one of a hundredth."""
+    c = Config()
+    c.compare.numeric = NumericOptions(abs_tol=1.0, rel_tol=0.01)
+    p, k = plan(c, "b", "a", m.NUMERIC), F.col("o_orderkey")
+    more = F.get(F.array(*[F.lit(x) for x in (0, 1, 5, 50)]), (k % 4).cast("int"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", k.cast("string").alias("b"), (k + more).cast("string").alias("a"))
+    return o.select("o_orderkey", F.explode(F.array(p.cell(F.col("b"), F.col("a")))).alias("c")).select("o_orderkey", "c.status")
+
+
+@query(f"{_CELLS} SELECT pair_id, round(abs_diff, 6) AS abs_diff, round(rel_diff, 6) AS rel_diff FROM cells WHERE column_name = 'price'")
+def abs_rel_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _cells(spark, sf_dir).select("__pair_id", F.explode("cells").alias("c")).filter("c.column_name = 'price'")
+    return c.select(F.col("__pair_id").alias("pair_id"), F.round("c.abs_diff", 6).alias("abs_diff"), F.round("c.rel_diff", 6).alias("rel_diff"))
+
+
+# ---- sources, schema, profiles
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders")
+def cast_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellwright.sources.text import as_text
+
+    return as_text(table(spark, sf_dir, "orders"))
+
+
+@query("SELECT count(*) AS n, min(o_orderkey * 0) AS least, max(o_orderkey * 0) + count(*) - 1 AS most, count(*) AS uniq FROM orders")
+def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellwright.sources.rowid import with_row_id
+
+    return with_row_id(table(spark, sf_dir, "orders")).agg(F.count("*").alias("n"), F.min("__row_id").alias("least"), F.max("__row_id").alias("most"), F.count_distinct("__row_id").alias("uniq"))
+
+
+@query("SELECT * FROM (VALUES ('c_custkey', 'c_custkey', 'pair'), ('c_name', 'customer_name', 'pair'), ('c_nationkey', '', 'only_before'), ('c_acctbal', 'c_acctbal', 'pair'), ('c_mktsegment', 'c_mktsegment', 'pair'), ('', 'c_region', 'only_after')) AS t(before_column, after_column, kind)")
+def schema_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    after = c.withColumnsRenamed({"c_name": "customer_name", "c_nationkey": "c_region"})
+    found = align.align(Config(column_map={"c_name": "customer_name"}), c.columns, after.columns)
+    return spark.createDataFrame([(b, a, "pair") for b, a in found.pairs] + [(b, "", "only_before") for b in found.only_before] + [("", a, "only_after") for a in found.only_after], "before_column string, after_column string, kind string")
+
+
+def _profile_sql(t: str, columns: list[str]) -> str:
+    one = "SELECT '{c}' AS column_name, count(*) AS total, count(*) FILTER (WHERE v IS NULL OR v = '') AS nulls, count(DISTINCT v) AS n_distinct, count(TRY_CAST(v AS DOUBLE)) AS numeric_ok, count(*) FILTER (WHERE regexp_matches(v, '^[+-]?0[0-9]')) AS leading_zero, max(length(regexp_replace(split_part(regexp_replace(v, '^[+-]', ''), '.', 1), '[^0-9]', '', 'g'))) AS max_digits, count(*) FILTER (WHERE regexp_matches(v, '[0-9]{{1,2}}:[0-9]{{2}}')) AS has_time, min(v) AS min_value, max(v) AS max_value FROM (SELECT trim(CAST({c} AS VARCHAR)) AS v FROM {t})"
+    return " UNION ALL ".join(one.format(c=c, t=t) for c in columns)
+
+
+def _profiled(df: DataFrame, columns: list[str]) -> DataFrame:
+    p = profile.profile_frame(df, columns)
+    return p.select(F.col("column").alias("column_name"), "total", "nulls", F.col("distinct").alias("n_distinct"), "numeric_ok", "leading_zero", F.col("max_digits").cast("long").alias("max_digits"), "has_time", "min_value", "max_value")
+
+
+@query(_profile_sql("customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]))
+def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profiled(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+
+
+@query(f"{_WITH} SELECT 'odate' AS column_name, count(*) AS total, count(*) FILTER (WHERE regexp_matches(odate, '^[0-9]{{4}}[-/.年]')) AS date_like, count({_DAY.format(x='odate')}) AS date_ok, count(*) FILTER (WHERE odate LIKE '%:%') AS has_time FROM a")
+def profile_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = profile.profile_frame(orders_snapshots(spark, sf_dir)[1], ["odate"])
+    return p.select(F.col("column").alias("column_name"), "total", "date_like", "date_ok", "has_time")
+
+
+@query()
+def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.profile_frame(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_shipdate"], approximate=True).select(F.col("column").alias("column_name"), "total", "distinct")
+
+
+@query("SELECT * FROM (VALUES ('orders', 'o_orderkey', 'numeric'), ('orders', 'o_orderstatus', 'string'), ('orders', 'o_totalprice', 'numeric'), ('orders', 'o_orderdate', 'date'), ('orders', 'o_orderpriority', 'string'), ('snapshots', 'price', 'string'), ('snapshots', 'odate', 'date'), ('snapshots', 'status', 'string')) AS t(t, column_name, type)")
+def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """price stays text: too many of its values after cannot be read as numbers."""
+    found, c = [], Config()
+    o, columns = table(spark, sf_dir, "orders"), ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    for p in profile.profile(o, columns):
+        found.append(("orders", p.column, profile.infer(c, p.column, p, p)[0]))
+    b, a = orders_snapshots(spark, sf_dir)
+    for x, y in zip(profile.profile(b, ["price", "odate", "status"]), profile.profile(a, ["price", "odate", "status"]), strict=True):
+        found.append(("snapshots", x.column, profile.infer(c, x.column, x, y)[0]))
+    return spark.createDataFrame(found, "t string, column_name string, type string")
+
+
+# ---- anomalies
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    b, a = orders_snapshots(spark, sf_dir)
+    return list(zip(profile.profile(b, COLUMNS[1:]), profile.profile(a, COLUMNS[1:]), strict=True))
+
+
+@query(f"{_WITH}, n AS (SELECT (SELECT avg(CAST(price = '' AS DOUBLE)) FROM b) AS nb, (SELECT avg(CAST(price IN ('', 'N/A') AS DOUBLE)) FROM a) AS na) SELECT 'price' AS column_name, CASE WHEN na >= 0.5 OR (na - nb) / nb >= 0.5 THEN 'warn' ELSE 'info' END AS level, round(na - nb, 6) AS delta FROM n WHERE abs(na - nb) >= 0.04")
+def null_rate_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At a threshold of 0.04."""
+    c = orders_config()
+    c.anomaly.null_rate_delta = 0.04
+    found = [x for b, a in _profiles(spark, sf_dir) for x in anomaly.null_rate_change(c.anomaly, b, a)]
+    return spark.createDataFrame([(x.column, x.level, round(x.value, 6)) for x in found], "column_name string, level string, delta double")
+
+
+@query(f"{_WITH} SELECT 'prio' AS column_name, count(DISTINCT b.prio) AS n_before, (SELECT count(DISTINCT prio) FROM a) AS n_after FROM b UNION ALL SELECT 'status', count(DISTINCT b.status), (SELECT count(DISTINCT translate(trim(status), 'ＦＯＰ', 'FOP')) FROM a) FROM b")
+def distinct_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [(b.column, b.distinct, a.distinct) for b, a in _profiles(spark, sf_dir) if b.column in ("prio", "status")]
+    return spark.createDataFrame(found, "column_name string, n_before long, n_after long")
+
+
+@query(f"{_WITH} SELECT 'price' AS column_name, 'numeric_parse_failure' AS category, count(*) FILTER (WHERE price = '待确认') AS failures FROM a")
+def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = {p.before: p for p in orders_plans()}
+    found = [x for b, a in _profiles(spark, sf_dir) for x in anomaly.parse_failures(orders_config().anomaly, plans[b.column], [("before", b), ("after", a)])]
+    return spark.createDataFrame([(x.column, x.category, x.count) for x in found], "column_name string, category string, failures long")
+
+
+def _numeric(column: str) -> list:
+    return [(column, plan(Config(), column, column, m.NUMERIC))]
+
+
+@query("SELECT 'c_acctbal' AS column_name, count(c_acctbal) AS n, round(avg(c_acctbal), 4) AS mean, round(median(c_acctbal), 4) AS median, round(quantile_cont(c_acctbal, 0.25), 4) AS q1, round(quantile_cont(c_acctbal, 0.75), 4) AS q3, round(min(c_acctbal), 4) AS least, round(max(c_acctbal), 4) AS most FROM customer")
+def numeric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = anomaly.numeric_stats(table(spark, sf_dir, "customer"), _numeric("c_acctbal"))
+    return s.select(F.col("column").alias("column_name"), "n", *[F.round(c, 4).alias(n) for c, n in (("mean", "mean"), ("median", "median"), ("q1", "q1"), ("q3", "q3"), ("min", "least"), ("max", "most"))])
+
+
+@query("WITH s AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events) SELECT 'value' AS column_name, count(value) AS n, count(*) FILTER (WHERE value < q1 - 0.5 * (q3 - q1) OR value > q3 + 0.5 * (q3 - q1)) AS outliers FROM events, s")
+def iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At half the quartiles' distance."""
+    e, plans = table(spark, sf_dir, "events"), _numeric("value")
+    return anomaly.outliers(e, plans, anomaly.numeric_stats(e, plans), 0.5).withColumnRenamed("column", "column_name")
+
+
+@query("WITH s AS (SELECT avg(o_totalprice) AS b, avg(o_totalprice * CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END) AS a FROM orders) SELECT 'o_totalprice' AS column_name, 'warn' AS level, round(abs(a - b) / abs(b), 6) AS shift FROM s WHERE abs(a - b) / abs(b) >= 0.3")
+def mean_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, plans = table(spark, sf_dir, "orders"), _numeric("o_totalprice")
+    doubled = o.withColumn("o_totalprice", F.col("o_totalprice") * F.when(F.col("o_orderkey") % 2 == 0, 2).otherwise(1))
+    b, a = (anomaly.numeric_stats(x, plans).first()["mean"] for x in (o, doubled))
+    return spark.createDataFrame([(x.column, x.level, round(x.value, 6)) for x in anomaly.mean_shift(Config().anomaly, "o_totalprice", b, a)], "column_name string, level string, shift double")
+
+
+def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, a = orders_snapshots(spark, sf_dir)
+    plans = [(p.before, p) for p in orders_plans() if p.type == m.STRING]
+    return anomaly.category_changes(anomaly.categories(b, plans), anomaly.categories(a, plans))
+
+
+@query(f"{_WITH} SELECT 'status' AS column_name, v AS value FROM (SELECT DISTINCT translate(trim(status), 'ＦＯＰ', 'FOP') AS v FROM a EXCEPT SELECT status FROM b) UNION ALL SELECT 'prio', v FROM (SELECT prio AS v FROM a EXCEPT SELECT prio FROM b)")
+def category_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _categories(spark, sf_dir).select(F.col("column").alias("column_name"), F.explode("added").alias("value"))
+
+
+@query("SELECT 'o_orderpriority' AS column_name, max(o_orderpriority) AS value FROM orders")
+def category_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side after lacks the last priority."""
+    o = table(spark, sf_dir, "orders")
+    plans = [("o_orderpriority", plan(Config(), "o_orderpriority", "o_orderpriority", m.STRING))]
+    last = o.agg(F.max("o_orderpriority").alias("last"))
+    a = o.join(F.broadcast(last), F.col("o_orderpriority") != F.col("last"))
+    return anomaly.category_changes(anomaly.categories(o, plans), anomaly.categories(a, plans)).select(F.col("column").alias("column_name"), F.explode("missing").alias("value"))
+
+
+@query("SELECT 'o_orderstatus' AS column_name, 'constant_collapse' AS category, count(DISTINCT o_orderstatus) AS n FROM orders")
+def constant_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    plans = [("o_orderstatus", plan(Config(), "o_orderstatus", "o_orderstatus", m.STRING))]
+    a = o.withColumn("o_orderstatus", F.lit("F"))
+    rows_ = anomaly.category_changes(anomaly.categories(o, plans), anomaly.categories(a, plans)).collect()
+    found = [x for r in rows_ for x in anomaly.category_anomalies(Config().anomaly, r.asDict()) if x.category == "constant_collapse"]
+    return spark.createDataFrame([(x.column, x.category, x.count) for x in found], "column_name string, category string, n long")
+
+
+@query("SELECT 'row_count_change' AS category, 'warn' AS level, -count(*) FILTER (WHERE o_orderkey % 10 = 0) AS delta FROM orders")
+def row_count_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side after lacks a tenth of the rows."""
+    r = table(spark, sf_dir, "orders").agg(F.count("*"), F.count_if(F.col("o_orderkey") % 10 != 0)).first()
+    found = anomaly.row_count_change(m.Stats(before_rows=r[0], after_rows=r[1]))
+    return spark.createDataFrame([(x.category, x.level, r[1] - r[0]) for x in found], "category string, level string, delta long")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,15 +26,8 @@ def java_pattern(strptime: str) -> str:
     """A strptime format as a pattern of Spark: letters are quoted, and digits that touch get fixed widths."""
     tight = "%Y%m" in strptime or "%m%d" in strptime or "%H%M" in strptime
     names = _STRPTIME | {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss"} if tight else _STRPTIME
-    out, i = "", 0
-    while i < len(strptime):
-        if strptime[i : i + 2] in names:
-            out += names[strptime[i : i + 2]]
-            i += 2
-        else:
-            out += f"'{strptime[i]}'" if strptime[i].isalpha() else strptime[i]
-            i += 1
-    return out
+    parts = re.split(r"(%.|[^\W\d_]+)", strptime)
+    return "".join(names.get(x, f"'{x}'" if x.isalpha() else x) for x in parts)
 
 
 def _iso(c: Column, pattern: str, to: str) -> Column:

@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwright.llm.common import cut, slices
 
-#: Words whose ids a Python worker remembers at most; then it forgets all and goes on.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers; then it begins anew, and keeps those only until so many are new again.
+REMEMBERED = 350_000
+#: Punctuation that is split off a word's end.
+_MARKS = ".,!?;:*#%&$|"
 #: Offsets of (task, source) pairs are broadcast up to this many rows (24 bytes each), and joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
-_known: dict[str, tuple] = {}
+#: The pieces of a lower-case word.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_known: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
@@ -26,7 +33,8 @@ class WordEncoder:
 
     A text is cut at white space; the ids of a word are found once and remembered. That equals
     encoding the whole text where the tokenizer drops white space and normalises and merges
-    within words only, as the `word_bpe` family does.
+    within words only, as the `word_bpe` family does. New words are encoded as one line, whose ids
+    are dealt out by the tokens that end a piece ("</w>"): as many as the word has pieces.
     """
 
     def __init__(self, path: str) -> None:
@@ -34,23 +42,79 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        self.ids: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text."""
+        self.last = np.zeros(1 << 16, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.ids: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
+
+    def pieces(self, word: str) -> int:
+        """How many pieces the tokenizer cuts a word into."""
+        if word.isascii() and word.isalpha():
+            return 1
+        plain = unicodedata.normalize("NFC", word).lower()
+        return 1 if plain.isalpha() else len(_PIECE.findall(plain))
+
+    def learn(self, words: list[str]) -> None:
+        """Put words into `ids`: from the generation before, from a stem and the marks behind it, or by the tokenizer."""
+        ids, before, fresh, parts = self.ids, self.before, set(), {}
+        for w in words:
+            if (x := before.get(w)) is not None:
+                ids[w] = x
+                continue
+            stem = w.rstrip(_MARKS)
+            # behind a letter or digit marks always begin a piece of their own
+            if stem and stem != w and stem[-1].isascii() and stem[-1].isalnum() and "<|" not in w:
+                parts[w] = stem, w[len(stem) :]
+                for x in parts[w]:
+                    if x not in ids:
+                        if (y := before.get(x)) is not None:
+                            ids[x] = y
+                        else:
+                            fresh.add(x)
+            else:
+                fresh.add(w)
+        line = list(fresh)
+        for at in range(0, len(line), 4096):
+            self.encode(line[at : at + 4096])
+        for w, (stem, marks) in parts.items():
+            ids[w] = ids[stem] + ids[marks]
+
+    def encode(self, words: list[str]) -> None:
+        alone = [w for w in words if "<|" in w]  # may spell a special token
+        words = [w for w in words if "<|" not in w]
+        many = np.fromiter(map(self.pieces, words), np.int64, len(words))
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == many.sum() and (many > 0).all() and (not len(ends) or ends[-1] == len(ids)):
+            line, cuts = ids.tobytes(), (2 * ends[np.cumsum(many) - 1]).tolist()
+            self.ids.update(zip(words, [line[s:e] for s, e in zip([0, *cuts], cuts, strict=False)], strict=True))
+        else:
+            alone += words
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.ids[w] = np.array(e.ids, "<u2").tobytes()
+
+    def __call__(self, texts: pa.StringArray) -> list[bytes]:
+        """Little-endian 16-bit ids of each text (none of a null one). Each different word is looked up once a call."""
         # the vocabulary is lower-case: folding A-Z first changes nothing, unless a special token is spelled out
-        words = [(x if b"<|" in x else x.lower()).split() if x else [] for x in texts]
-        ids = self.ids
-        if len(ids) > REMEMBERED:
-            ids.clear()
-        new = list({w for ws in words for w in ws if w not in ids})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids[w] = np.array(e.ids, "<u2").tobytes()
-        return [b"".join([ids[w] for w in ws]) for ws in words]
+        special = pc.fill_null(pc.match_substring(texts, "<|"), False)
+        texts = pc.fill_null(pc.if_else(special, texts, pc.ascii_lower(texts)), "")
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        if len(self.ids) > REMEMBERED:
+            self.before, self.ids = self.ids, {"": b""}
+        line = words.dictionary.to_pylist()
+        self.learn([w for w in line if w not in self.ids])
+        found = list(map(self.ids.__getitem__, line))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        begin, token = np.cumsum(size) - size, words.indices.to_numpy()
+        many = size[token]
+        upto = np.cumsum(many)
+        ids = np.frombuffer(b"".join(found), "<u2")[np.repeat(begin[token] - upto + many, many) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
+        ends = np.concatenate(([0], upto))[np.cumsum(pc.list_value_length(split).to_numpy())] * 2
+        return [ids[s:e] for s, e in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -96,7 +160,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
         encode, task = encoder(tokenizer), TaskContext.get().partitionId()
         end, at = np.array([end_id], "<u2").tobytes(), {}
         for batch in slices(batches, 2):
-            ids = [x + end for x in encode(batch.column(2).to_pylist())]
+            ids = [x + end for x in encode(batch.column(2))]
             starts = []
             for source, x in zip(batch.column(1).to_pylist(), ids, strict=True):
                 starts.append(at.get(source, 0))
@@ -107,7 +171,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.select(docs[id_col].alias(id_col), docs[source_col].cast("string").alias("source"), docs[text_col].cast("string").cast("binary").alias("text"))
+    chosen = docs.select(docs[id_col].alias(id_col), docs[source_col].cast("string").alias("source"), docs[text_col].cast("string").alias("text"))
     return chosen.mapInArrow(run, f"`{id_col}` {kind}, source string, task int, start long, doc_tokens long, ids binary")
 
 

@@ -82,6 +82,7 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ANCHORS = ("licen", "permission", "copyright", "warrant", "liab", "redistribut", "endorse", "free software", "version 2", "mpl", "unencumbered")
 #: A sentence ends at . ! ? : or ; before white space (a group: the mark stays).
 _END = r"([.!?:;])[ \t\r\f]+"
+_TAG = "(?i)(SPDX-License-Identifier):"
 
 
 def normal(sentence: str) -> str:
@@ -97,7 +98,8 @@ def _split(text: Column, joined: bool) -> Column:
     """Sentences of each line; or, joined, of the text whose single line feeds (with comment marks after them) are blanks."""
     if joined:
         text = F.regexp_replace(text, r"(\S)[ \t\r]*\n[ \t]*(?:[#*]+|//+|--+)?[ \t]*(\S)", "$1 $2")
-    return F.split(F.regexp_replace(text, _END, "$1\n"), "\n")
+    # the colon of an SPDX tag ends no sentence
+    return F.split(F.regexp_replace(F.regexp_replace(text, _TAG, "$1"), _END, "$1\n"), "\n")
 
 
 def known_sentences(text: Column, joined: bool) -> Column:
@@ -141,7 +143,7 @@ def oracle_sql() -> str:
     return rf"""
 WITH known(s, k, name) AS (VALUES {table}), rules(license, seq) AS (VALUES {rules}),
 both_ways AS (SELECT doc_id, 0 AS way, text FROM documents UNION ALL SELECT doc_id, 1, {joined} FROM documents),
-parts AS (SELECT doc_id, way, string_split(regexp_replace(text, '([.!?:;])[ \t\r\f]+', '\1' || chr(10), 'g'), chr(10)) AS p
+parts AS (SELECT doc_id, way, string_split(regexp_replace(regexp_replace(text, '{_TAG}', '\1', 'g'), '([.!?:;])[ \t\r\f]+', '\1' || chr(10), 'g'), chr(10)) AS p
   FROM both_ways WHERE regexp_matches(text, '(?i){anchors}')),
 lines AS (SELECT doc_id, way, unnest(p) AS l, unnest(range(1, len(p) + 1)) AS i FROM parts),
 found AS (SELECT doc_id, way, i, k, name FROM lines JOIN known ON trim(regexp_replace(lower(l), '[^a-z0-9]+', ' ', 'g')) = s),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright import models as m
@@ -260,12 +260,13 @@ def normalize_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(F.col("__row_id").alias("rid"), F.round(numbers.parse(F.col("price"), NumericOptions()), 2).alias("value"))
 
 
-_CENTS = F.round(F.col("o_totalprice") * 100).cast("long")
+def _cents() -> Column:
+    return F.round(F.col("o_totalprice") * 100).cast("long")
 
 
 @query("SELECT o_orderkey, -CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders")
 def accounting_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spelt = F.concat(F.lit("($ "), F.format_number(_CENTS, 0), F.lit(")"))
+    spelt = F.concat(F.lit("($ "), F.format_number(_cents(), 0), F.lit(")"))
     return table(spark, sf_dir, "orders").select("o_orderkey", numbers.parse(spelt, NumericOptions()).cast("long").alias("cents"))
 
 
@@ -279,7 +280,7 @@ def percent_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders")
 def european_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spelt = F.concat(F.replace(F.format_number(F.floor(_CENTS / 100), 0), F.lit(","), F.lit(".")), F.lit(","), F.lpad((_CENTS % 100).cast("string"), 2, "0"))
+    spelt = F.concat(F.replace(F.format_number(F.floor(_cents() / 100), 0), F.lit(","), F.lit(".")), F.lit(","), F.lpad((_cents() % 100).cast("string"), 2, "0"))
     value = numbers.parse(spelt, NumericOptions(decimal_separator=","))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(value * 100).cast("long").alias("cents"))
 

@@ -72,7 +72,6 @@ class ColumnPlan:
 
         Each stage is bound once by a lambda's variable, so a chain of replacements is evaluated once a cell.
         """
-        once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
         raw = F.struct(before.alias("b"), after.alias("a"), self.norm(before).alias("bs"), self.norm(after).alias("as_"))
 
         def valued(x: Column) -> Column:
@@ -87,7 +86,7 @@ class ColumnPlan:
                 self.status(x).alias("status"), self.abs_diff(x).alias("abs_diff"), self.rel_diff(x).alias("rel_diff"),
             )
 
-        return once(once(raw, valued), judged)
+        return text.once(text.once(raw, valued), judged)
 
 
 def plan(config: Config, before: str, after: str, type_: str, granularity: str = "timestamp", notes: str = "") -> ColumnPlan:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cellwright.functions.text import full, half_width, trim_blank
+from cellwright.functions.text import full, half_width, once, trim_blank
 
 # The shapes that are worth parsing, that count as dates, and that hold a time.
 GATE = full(r"(?:[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}|[0-9]{8}|[0-9]{4}年|[0-9]{4}).*")
@@ -39,15 +39,18 @@ def parse(c: Column, day_first: bool = True, formats: tuple[str, ...] | list[str
 
     One pattern turns a spelling into ISO form, which is cast; so a text that fits no pattern costs no exception.
     """
-    c = trim_blank(half_width(c))
     d, m = ("$1", "$3") if day_first else ("$3", "$1")
-    known = (
-        F.when(c.rlike(_YEAR_FIRST), _iso(c, _YEAR_FIRST, "$1-$3$5-$4$6 $7:$8"))
-        .when(c.rlike(_COMPACT), _iso(c, _COMPACT, "$1-$2-$3"))
-        .when(c.rlike(_YEAR_LAST), _iso(c, _YEAR_LAST, f"$4-{m}-{d} $5:$6"))
-    )
-    own = [F.try_to_timestamp(c, F.lit(java_pattern(f))).cast("timestamp_ntz") for f in formats]
-    return F.when(c.rlike(GATE), F.coalesce(*own, known)) if not own else F.coalesce(*own, known)
+
+    def value(c: Column) -> Column:
+        known = (
+            F.when(c.rlike(_YEAR_FIRST), _iso(c, _YEAR_FIRST, "$1-$3$5-$4$6 $7:$8"))
+            .when(c.rlike(_COMPACT), _iso(c, _COMPACT, "$1-$2-$3"))
+            .when(c.rlike(_YEAR_LAST), _iso(c, _YEAR_LAST, f"$4-{m}-{d} $5:$6"))
+        )
+        own = [F.try_to_timestamp(c, F.lit(java_pattern(f))).cast("timestamp_ntz") for f in formats]
+        return F.coalesce(*own, known) if own else F.when(c.rlike(GATE), known)
+
+    return once(trim_blank(half_width(c)), value)
 
 
 def truncate(c: Column, granularity: str) -> Column:

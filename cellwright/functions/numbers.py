@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cellwright.config import NumericOptions
-from cellwright.functions.text import SPACE, full, half_width, trim_blank
+from cellwright.functions.text import SPACE, full, half_width, once, trim_blank
 
 # Yen (two widths), dollar (two), euro, pound, rupee.
 CURRENCY = "¥￥$€£₹＄"
@@ -20,18 +20,21 @@ def clean(c: Column, o: NumericOptions) -> Column:
     drop = SPACE[1:-1] + (CURRENCY.replace("$", r"\$") if o.strip_currency else "")
     if o.ignore_thousands_separator:
         drop += "." if european else ","
-    c = F.regexp_replace(half_width(F.nullif(trim_blank(c), F.lit(""))), f"[{drop}]", "")
-    c = F.when(c.startswith("(") & c.endswith(")"), F.concat(F.lit("-"), F.substring(c, F.lit(2), F.length(c) - 2))).otherwise(c)
+    bare = F.regexp_replace(half_width(F.nullif(trim_blank(c), F.lit(""))), f"[{drop}]", "")
+    inner = lambda x: F.concat(F.lit("-"), F.substring(x, F.lit(2), F.length(x) - 2))
+    c = once(bare, lambda x: F.when(x.startswith("(") & x.endswith(")"), inner(x)).otherwise(x))
     return F.replace(c, F.lit(","), F.lit(".")) if european else c
 
 
 def parse(c: Column, o: NumericOptions) -> Column:
     """The value as DOUBLE, or null. A trailing % is dropped, and in ratio mode divides the value by 100."""
-    c = clean(c, o)
-    percent = c.endswith("%")
-    digits = F.regexp_replace(F.regexp_replace(c, r"%\z", ""), r"(?<=\d)_(?=\d)", "")
-    value = F.when(digits.rlike(GRAMMAR), digits).try_cast("double")
-    return F.when(percent, value / 100).otherwise(value) if o.percent_mode == "ratio" else value
+
+    def value(x: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_replace(x, r"%\z", ""), r"(?<=\d)_(?=\d)", "")
+        number = once(digits, lambda d: F.when(d.rlike(GRAMMAR), d).try_cast("double"))
+        return F.when(x.endswith("%"), number / 100).otherwise(number) if o.percent_mode == "ratio" else number
+
+    return once(clean(c, o), value)
 
 
 def within(a: Column, b: Column, abs_tol: float, rel_tol: float) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def full(pattern: str) -> str:
     return rf"(?s)\A(?:{pattern})\z"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is evaluated once: it is bound to a lambda's variable, and generated code stays small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def half_width(c: Column) -> Column:
     return F.translate(c, _WIDE + _MINUS, _NARROW + "-" * len(_MINUS))
 

@@ -10,9 +10,19 @@ from cellwright import models as m
 COLUMNS = ["__pair_id", "__key", "__b_row", "__a_row", "column_name", "column_type", "column_notes", "before_raw", "after_raw", "before_norm", "after_norm", "status", "abs_diff", "rel_diff"]
 
 
+def exploded(cells: DataFrame, *keep: str) -> DataFrame:
+    """One row for each cell `c` of the matched rows, with the columns of `keep`.
+
+    An outer generator after an explicit filter: for an inner one Spark infers a filter on the array,
+    pushes it into the join, and classifies every cell twice.
+    """
+    matched = cells.filter(F.col("__b_row").isNotNull() & F.col("__a_row").isNotNull())
+    return matched.select(*keep, F.explode_outer("cells").alias("c")).filter(F.col("c").isNotNull())
+
+
 def diff_detail(cells: DataFrame) -> DataFrame:
     """One row for each cell that is not equal. The filter stays above the generator, so no cell is classified twice."""
-    long = cells.select("__pair_id", "__key", "__b_row", "__a_row", F.explode("cells").alias("c"))
+    long = exploded(cells, "__pair_id", "__key", "__b_row", "__a_row")
     return long.select("__pair_id", "__key", "__b_row", "__a_row", "c.*").filter(F.col("status") != m.EQUAL).select(*COLUMNS)
 
 
@@ -50,7 +60,7 @@ def shown(detail: DataFrame, statuses: list[str] | None = None, column: str | No
 
 def cell_counts(cells: DataFrame) -> DataFrame:
     """column_name, status, cells: counts of all cells, the equal ones too."""
-    return cells.select(F.explode("cells").alias("c")).groupBy("c.column_name", "c.status").agg(F.count("*").alias("cells"))
+    return exploded(cells).groupBy("c.column_name", "c.status").agg(F.count("*").alias("cells"))
 
 
 def format_breakdown(detail: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwright import models as m
@@ -14,6 +14,27 @@ from cellwright.models import ColumnProfile
 LEADING_ZERO = text.full(r"[+-]?0[0-9].*")
 
 
+def _measured(raw: Column, column: str, name: str, config: Config) -> Column:
+    """What one cell adds to its column's profile."""
+    o, tokens = config.compare, config.null_tokens(name)
+
+    def measures(x: Column) -> Column:
+        raw, norm = x["raw"], x["norm"]
+        when = lambda c: ~x["is_null"] & F.coalesce(c, F.lit(False))
+        digits = F.regexp_replace(F.split_part(F.regexp_replace(norm, r"\A[+-]", ""), F.lit("."), F.lit(1)), "[^0-9]", "")
+        return F.struct(
+            F.lit(column).alias("column"), norm.alias("norm"), x["is_null"].alias("is_null"),
+            when(numbers.parse(raw, o.numeric).isNotNull()).alias("num"), when(norm.rlike(LEADING_ZERO)).alias("zero"),
+            F.when(~x["is_null"], F.length(digits)).otherwise(0).alias("digits"), when(norm.rlike(dates.HAS_TIME)).alias("time"),
+            when(norm.rlike(dates.LIKE)).alias("like"), when(norm.rlike(dates.GATE)).alias("gate"),
+            when(dates.parse(raw, o.date.day_first, config.date_formats(name)).isNotNull()).alias("date"),
+        )
+
+    both = F.struct(raw.alias("raw"), text.normalize(raw, config.strings(name)).alias("norm"))
+    tested = text.once(both, lambda x: F.struct(x["raw"].alias("raw"), x["norm"].alias("norm"), text.is_null(x["raw"], x["norm"], tokens).alias("is_null")))
+    return text.once(tested, measures)
+
+
 def profile_frame(df: DataFrame, columns: list[str], config: Config | None = None, approximate: bool = False, names: dict[str, str] | None = None) -> DataFrame:
     """One row for each column: total, nulls, distinct, numeric_ok, leading_zero, max_digits, has_time, date_like, date_gate, date_ok, min_value, max_value.
 
@@ -26,20 +47,7 @@ def profile_frame(df: DataFrame, columns: list[str], config: Config | None = Non
     cells = []
     for c in columns:
         name = (names or {}).get(c, c)
-        raw = F.col(f"`{c}`").cast("string")
-        norm = text.normalize(raw, config.strings(name))
-        null = text.is_null(raw, norm, config.null_tokens(name))
-        when = lambda x, null=null: F.when(~null, F.coalesce(x, F.lit(False))).otherwise(False)
-        digits = F.regexp_replace(F.split_part(F.regexp_replace(norm, r"\A[+-]", ""), F.lit("."), F.lit(1)), "[^0-9]", "")
-        cells.append(
-            F.struct(
-                F.lit(c).alias("column"), norm.alias("norm"), null.alias("is_null"),
-                when(numbers.parse(raw, config.compare.numeric).isNotNull()).alias("num"), when(norm.rlike(LEADING_ZERO)).alias("zero"),
-                F.when(~null, F.length(digits)).otherwise(0).alias("digits"), when(norm.rlike(dates.HAS_TIME)).alias("time"),
-                when(norm.rlike(dates.LIKE)).alias("like"), when(norm.rlike(dates.GATE)).alias("gate"),
-                when(dates.parse(raw, config.compare.date.day_first, config.date_formats(name)).isNotNull()).alias("date"),
-            )
-        )
+        cells.append(_measured(F.col(f"`{c}`").cast("string"), c, name, config))
     long = df.select(F.inline(F.array(*cells)))
     count = lambda c: F.count_if(F.col(c))
     measures = [

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from cellwright.config import SourceSpec
 
-#: An empty field is the empty text; only this, which no file holds, would be null.
+#: What no file holds; the reader gives null for it and for an empty field, which is then made the empty text (as are fields a short row lacks).
 _NULL = "\x00null\x00"
 
 
@@ -66,4 +66,5 @@ def read(spark: SparkSession, spec: SourceSpec, warnings: list[str], limit: int
         df = parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
     else:
         df = spark.read.options(**options | {"sep": delimiter, "header": str(spec.header).lower(), "multiLine": "true", "enforceSchema": "true"}).schema(schema).csv(spec.path)
+    df = df.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
     return df.limit(limit) if limit else df

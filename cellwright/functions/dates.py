@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from cellwright.functions.text import full, half_width, once, trim_blank
 
 # The shapes that are worth parsing, that count as dates, and that hold a time.
-GATE = full(r"(?:[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}|[0-9]{8}|[0-9]{4}年|[0-9]{4}).*")
-LIKE = full(r"[0-9]{4}[-/.年][0-9]{1,2}(?:[-/.月][0-9]{1,2}日?)?.*")
-HAS_TIME = full(r".*[0-9]{1,2}:[0-9]{2}.*")
+# (Anything may follow, and precede a time, so finding the start is enough.)
+GATE = r"\A(?:[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}|[0-9]{8}|[0-9]{4}年|[0-9]{4})"
+LIKE = r"\A[0-9]{4}[-/.年][0-9]{1,2}"
+HAS_TIME = r"[0-9]:[0-9]{2}"
 
 # the time: hours:minutes, then seconds of which six decimals count, then an offset that is dropped (wall clock stays)
 _TIME = r"(?:(?:[Tt]|\x20)?\x20*(\d{1,2}:\d{1,2})(?::(\d{1,2}(?:\.\d{1,6})?)\d*)?\x20*(?:[Zz]|[+-]\d{2}:?\d{2})?)?"

@@ -20,7 +20,7 @@ def clean(c: Column, o: NumericOptions) -> Column:
     drop = SPACE[1:-1] + (CURRENCY.replace("$", r"\$") if o.strip_currency else "")
     if o.ignore_thousands_separator:
         drop += "." if european else ","
-    bare = F.regexp_replace(half_width(F.nullif(trim_blank(c), F.lit(""))), f"[{drop}]", "")
+    bare = F.regexp_replace(half_width(F.nullif(trim_blank(c), F.lit(""))), f"[{drop}]+", "")
     inner = lambda x: F.concat(F.lit("-"), F.substring(x, F.lit(2), F.length(x) - 2))
     c = once(bare, lambda x: F.when(x.startswith("(") & x.endswith(")"), inner(x)).otherwise(x))
     return F.replace(c, F.lit(","), F.lit(".")) if european else c
@@ -30,7 +30,8 @@ def parse(c: Column, o: NumericOptions) -> Column:
     """The value as DOUBLE, or null. A trailing % is dropped, and in ratio mode divides the value by 100."""
 
     def value(x: Column) -> Column:
-        digits = F.regexp_replace(F.regexp_replace(x, r"%\z", ""), r"(?<=\d)_(?=\d)", "")
+        bare = F.when(x.endswith("%"), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x)
+        digits = F.when(bare.contains("_"), F.regexp_replace(bare, r"(?<=\d)_(?=\d)", "")).otherwise(bare)
         number = once(digits, lambda d: F.when(d.rlike(GRAMMAR), d).try_cast("double"))
         return F.when(x.endswith("%"), number / 100).otherwise(number) if o.percent_mode == "ratio" else number
 

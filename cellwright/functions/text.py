@@ -27,8 +27,13 @@ def once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def is_ascii(c: Column) -> Column:
+    """Whether a text is plain ASCII: a cheap test that spares most cells the slow paths."""
+    return F.octet_length(c) == F.length(c)
+
+
 def half_width(c: Column) -> Column:
-    return F.translate(c, _WIDE + _MINUS, _NARROW + "-" * len(_MINUS))
+    return F.when(is_ascii(c), c).otherwise(F.translate(c, _WIDE + _MINUS, _NARROW + "-" * len(_MINUS)))
 
 
 def strip_space(c: Column) -> Column:
@@ -37,7 +42,7 @@ def strip_space(c: Column) -> Column:
 
 def trim_blank(c: Column) -> Column:
     """Without blanks of any width at both ends (TAB stays)."""
-    return F.regexp_replace(c, r"\A\p{Zs}+|\p{Zs}+\z", "")
+    return F.when(is_ascii(c), F.trim(c)).otherwise(F.regexp_replace(c, r"\A\p{Zs}+|\p{Zs}+\z", ""))
 
 
 def normalize(c: Column, o: StringOptions) -> Column:
@@ -47,7 +52,7 @@ def normalize(c: Column, o: StringOptions) -> Column:
     if o.ignore_whitespace:
         c = F.regexp_replace(c, f"{SPACE}+", "")
     elif o.collapse_whitespace:
-        c = trim_blank(F.regexp_replace(c, f"{SPACE}+", " "))
+        c = once(F.regexp_replace(c, f"{SPACE}+", " "), trim_blank)
     elif o.trim:
         c = strip_space(c)
     return F.lower(c) if o.case_insensitive else c

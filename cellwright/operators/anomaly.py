@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -173,20 +174,31 @@ def detect(e: Evidence) -> list[Anomaly]:
     out = schema_change(e.stats) + row_count_change(e.stats) + key_anomalies(e.stats, e.duplicates, e.unmatched) + format_changes(e.breakdown)
     numeric = [p for p in e.plans if p.type == m.NUMERIC]
     texts = [p for p in e.plans if p.type in (m.STRING, m.BOOLEAN)]
-    stats, beyond = {}, {}
-    for side, df, name in (("before", e.before, lambda p: p.before), ("after", e.after, lambda p: p.after)):
+    stats, beyond, kinds = {}, {}, {}
+
+    def measure(side: str, df: DataFrame, name) -> None:
         named = [(name(p), p) for p in numeric]
         rows = e.stats.before_rows if side == "before" else e.stats.after_rows
-        frame = numeric_stats(df, named, rows <= EXACT_QUARTILES) if named else None
-        stats[side] = {r["column"]: r.asDict() for r in frame.collect()} if named else {}
-        if named and o.outlier_enabled and stats[side]:
-            found = outliers(df, named, df.sparkSession.createDataFrame([(c, r["q1"], r["q3"]) for c, r in stats[side].items()], "column string, q1 double, q3 double"), o.outlier_multiplier)
-            beyond[side] = {r["column"]: r.asDict() for r in found.collect()}
+        if named:
+            stats[side] = {r["column"]: r.asDict() for r in numeric_stats(df, named, rows <= EXACT_QUARTILES).collect()}
+        if stats.get(side) and o.outlier_enabled:
+            quartiles = df.sparkSession.createDataFrame([(c, r["q1"], r["q3"]) for c, r in stats[side].items()], "column string, q1 double, q3 double")
+            beyond[side] = {r["column"]: r.asDict() for r in outliers(df, named, quartiles, o.outlier_multiplier).collect()}
+
+    def values(side: str, df: DataFrame, name) -> None:
+        # columns of too many distinct values need not be asked for theirs
+        few = [p for p in texts if max(e.before_profiles[p.before].distinct, e.after_profiles[p.before].distinct) <= 2 * o.category_max_distinct]
+        if few:
+            kinds[side] = categories(df, [(name(p), p) for p in few], o.category_max_distinct)
+
+    sides = [("before", e.before, lambda p: p.before), ("after", e.after, lambda p: p.after)]
+    with ThreadPoolExecutor(2) as pool:  # the sides' jobs share the cluster
+        list(pool.map(lambda s: measure(*s), sides))
     changes = {}
-    if texts:
-        b = categories(e.before, [(p.before, p) for p in texts], o.category_max_distinct)
-        a = categories(e.after, [(p.after, p) for p in texts], o.category_max_distinct)
-        changes = {r["column"]: r.asDict() for r in category_changes(b, a).collect()}
+    for s in sides:
+        values(*s)
+    if len(kinds) == 2:
+        changes = {r["column"]: r.asDict() for r in category_changes(kinds["before"], kinds["after"]).collect()}
     for p in e.plans:
         b, a = e.before_profiles[p.before], e.after_profiles[p.before]
         out += null_rate_change(o, b, a) + distinct_change(o, b, a) + parse_failures(o, p, [("before", b), ("after", a)])

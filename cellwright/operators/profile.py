@@ -11,7 +11,7 @@ from cellwright.functions import dates, numbers, text
 from cellwright.models import ColumnProfile
 
 # Fixed values.
-LEADING_ZERO = text.full(r"[+-]?0[0-9].*")
+LEADING_ZERO = r"\A[+-]?0[0-9]"
 
 
 def _measured(raw: Column, column: str, name: str, config: Config) -> Column:
@@ -21,13 +21,17 @@ def _measured(raw: Column, column: str, name: str, config: Config) -> Column:
     def measures(x: Column) -> Column:
         raw, norm = x["raw"], x["norm"]
         when = lambda c: ~x["is_null"] & F.coalesce(c, F.lit(False))
-        digits = F.regexp_replace(F.split_part(F.regexp_replace(norm, r"\A[+-]", ""), F.lit("."), F.lit(1)), "[^0-9]", "")
+        formats = config.date_formats(name)
+        date = dates.parse(raw, o.date.day_first, formats)
+        if not formats:  # the built-in spellings all begin with a digit, behind blanks at most
+            date = F.when(text.half_width(norm).rlike(r"\A[0-9]+[-/.年]|\A[0-9]{8}"), date)
+        digits = F.regexp_replace(F.substring_index(norm, ".", 1), "[^0-9]+", "")
         return F.struct(
             F.lit(column).alias("column"), norm.alias("norm"), x["is_null"].alias("is_null"),
             when(numbers.parse(raw, o.numeric).isNotNull()).alias("num"), when(norm.rlike(LEADING_ZERO)).alias("zero"),
-            F.when(~x["is_null"], F.length(digits)).otherwise(0).alias("digits"), when(norm.rlike(dates.HAS_TIME)).alias("time"),
+            F.when(~x["is_null"], F.length(digits)).otherwise(0).alias("digits"), when(norm.contains(":") & norm.rlike(dates.HAS_TIME)).alias("time"),
             when(norm.rlike(dates.LIKE)).alias("like"), when(norm.rlike(dates.GATE)).alias("gate"),
-            when(dates.parse(raw, o.date.day_first, config.date_formats(name)).isNotNull()).alias("date"),
+            when(date.isNotNull()).alias("date"),
         )
 
     both = F.struct(raw.alias("raw"), text.normalize(raw, config.strings(name)).alias("norm"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -104,10 +105,16 @@ class CompareEngine:
         warnings = [f"before: {w}" for w in before.warnings] + [f"after: {w}" for w in after.warnings]
         lined = align.align(c, before.columns, after.columns)
         warnings += lined.warnings
+        for side, name in ((before, "before"), (after, "after")):
+            if side.kind in ("csv", "json", "excel"):  # parsed once, not by every aggregate
+                few = side.df.rdd.getNumPartitions() < self.spark.sparkContext.defaultParallelism  # such files may not be split
+                side.df = self._keep(side.df.repartition(self.spark.sparkContext.defaultParallelism) if few else side.df, name)
         self.log("profiling")
         of = dict(lined.pairs)
-        b_profiles = self.profile(before, [b for b, _ in lined.pairs])
-        a_profiles = [ColumnProfile(**vars(p) | {"column": b}) for (b, _), p in zip(lined.pairs, self.profile(after, [a for _, a in lined.pairs], {a: b for b, a in lined.pairs}), strict=True)]
+        with ThreadPoolExecutor(2) as pool:  # the sides' jobs share the cluster
+            found = pool.submit(self.profile, after, [a for _, a in lined.pairs], {a: b for b, a in lined.pairs})
+            b_profiles = self.profile(before, [b for b, _ in lined.pairs])
+        a_profiles = [ColumnProfile(**vars(p) | {"column": b}) for (b, _), p in zip(lined.pairs, found.result(), strict=True)]
         before.row_count = before.df.count() if before.row_count is None else before.row_count
         after.row_count = after.df.count() if after.row_count is None else after.row_count
         key_columns, mode, more = keys.resolve(c, before.df, after.df, lined.pairs, b_profiles)

@@ -14,29 +14,25 @@ from cellwright.models import ColumnProfile
 LEADING_ZERO = r"\A[+-]?0[0-9]"
 
 
-def _measured(raw: Column, column: str, name: str, config: Config) -> Column:
-    """What one cell adds to its column's profile."""
-    o, tokens = config.compare, config.null_tokens(name)
+def _cell(raw: Column, column: str, name: str, config: Config) -> Column:
+    """struct(column, raw, norm, is_null): what depends on the column's own rules."""
+    both = F.struct(raw.alias("raw"), text.normalize(raw, config.strings(name)).alias("norm"))
+    null = lambda x: text.is_null(x["raw"], x["norm"], config.null_tokens(name))
+    return text.once(both, lambda x: F.struct(F.lit(column).alias("column"), x["raw"].alias("raw"), x["norm"].alias("norm"), null(x).alias("is_null")))
 
-    def measures(x: Column) -> Column:
-        raw, norm = x["raw"], x["norm"]
-        when = lambda c: ~x["is_null"] & F.coalesce(c, F.lit(False))
-        formats = config.date_formats(name)
-        date = dates.parse(raw, o.date.day_first, formats)
-        if not formats:  # the built-in spellings all begin with a digit, behind blanks at most
-            date = F.when(text.half_width(norm).rlike(r"\A[0-9]+[-/.年]|\A[0-9]{8}"), date)
-        digits = F.regexp_replace(F.substring_index(norm, ".", 1), "[^0-9]+", "")
-        return F.struct(
-            F.lit(column).alias("column"), norm.alias("norm"), x["is_null"].alias("is_null"),
-            when(numbers.parse(raw, o.numeric).isNotNull()).alias("num"), when(norm.rlike(LEADING_ZERO)).alias("zero"),
-            F.when(~x["is_null"], F.length(digits)).otherwise(0).alias("digits"), when(norm.contains(":") & norm.rlike(dates.HAS_TIME)).alias("time"),
-            when(norm.rlike(dates.LIKE)).alias("like"), when(norm.rlike(dates.GATE)).alias("gate"),
-            when(date.isNotNull()).alias("date"),
-        )
 
-    both = F.struct(raw.alias("raw"), text.normalize(raw, config.strings(name)).alias("norm"))
-    tested = text.once(both, lambda x: F.struct(x["raw"].alias("raw"), x["norm"].alias("norm"), text.is_null(x["raw"], x["norm"], tokens).alias("is_null")))
-    return text.once(tested, measures)
+def _date(columns: list[tuple[str, str]], config: Config) -> Column:
+    """Whether `raw` is a date, by the formats of its column; columns: (column, its name before)."""
+    day_first, raw = config.compare.date.day_first, F.col("raw")
+    # the built-in spellings all begin with a digit
+    out = F.when(text.half_width(F.col("norm")).rlike(r"\A[0-9]+[-/.年]|\A[0-9]{8}"), dates.parse(raw, day_first))
+    by_formats: dict[tuple, list[str]] = {}
+    for c, name in columns:
+        if own := tuple(config.date_formats(name)):
+            by_formats.setdefault(own, []).append(c)
+    for own, some in by_formats.items():
+        out = F.when(F.col("column").isin(*some), dates.parse(raw, day_first, own)).otherwise(out)
+    return out.isNotNull()
 
 
 def profile_frame(df: DataFrame, columns: list[str], config: Config | None = None, approximate: bool = False, names: dict[str, str] | None = None) -> DataFrame:
@@ -48,11 +44,22 @@ def profile_frame(df: DataFrame, columns: list[str], config: Config | None = Non
     before of each column, which rules go by.
     """
     config = config or Config()
-    cells = []
-    for c in columns:
-        name = (names or {}).get(c, c)
-        cells.append(_measured(F.col(f"`{c}`").cast("string"), c, name, config))
-    long = df.select(F.inline(F.array(*cells)))
+    named = [(c, (names or {}).get(c, c)) for c in columns]
+    # cells become rows first: what follows is one small expression for all columns, not one for each
+    rows = df.select(F.inline(F.array(*[_cell(F.col(f"`{c}`").cast("string"), c, name, config) for c, name in named])))
+    norm = F.col("norm")
+    some = lambda c: ~F.col("is_null") & F.coalesce(c, F.lit(False))
+    digits = F.length(F.regexp_replace(F.substring_index("norm", ".", 1), "[^0-9]+", ""))
+    long = rows.select(
+        "column", "norm", "is_null",
+        some(numbers.parse(F.col("raw"), config.compare.numeric).isNotNull()).alias("num"),
+        some(norm.rlike(LEADING_ZERO)).alias("zero"),
+        F.when(~F.col("is_null"), digits).otherwise(0).alias("digits"),
+        some(norm.contains(":") & norm.rlike(dates.HAS_TIME)).alias("time"),
+        some(norm.rlike(dates.LIKE)).alias("like"),
+        some(norm.rlike(dates.GATE)).alias("gate"),
+        some(_date(named, config)).alias("date"),
+    )
     count = lambda c: F.count_if(F.col(c))
     measures = [
         ("total", F.count("*"), F.sum("total")), ("nulls", count("is_null"), F.sum("nulls")), ("numeric_ok", count("num"), F.sum("numeric_ok")),

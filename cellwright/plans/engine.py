@@ -142,8 +142,11 @@ class CompareEngine:
         diff.createOrReplaceTempView("diff_detail")
         self._views(cells, status, diff, key_columns)
         self.log("summarising")
-        by_row = {r[0]: r[1] for r in status.groupBy("row_status").count().collect()}
-        counts: dict[tuple[str, str], int] = {(r["column_name"], r["status"]): r["cells"] for r in detail.cell_counts(cells).collect()}
+        with ThreadPoolExecutor(3) as pool:  # three small results of the same table, asked for together
+            jobs = [pool.submit(x.collect) for x in (status.groupBy("row_status").count(), detail.cell_counts(cells), detail.format_breakdown(diff))]
+            by_row, counts, breakdown = (j.result() for j in jobs)
+        by_row = {r["row_status"]: r["count"] for r in by_row}
+        counts = {(r["column_name"], r["status"]): r["cells"] for r in counts}
         stats = Stats(
             before.row_count, after.row_count, by_row.get(m.SAME, 0) + by_row.get(m.CHANGED, 0), by_row.get(m.SAME, 0), by_row.get(m.CHANGED, 0),
             by_row.get(m.ONLY_IN_BEFORE, 0), by_row.get(m.ONLY_IN_AFTER, 0), *n_dup, compared_columns=len(plans), keys=key_columns, key_mode=mode,
@@ -162,7 +165,7 @@ class CompareEngine:
             ends = lambda which: [r["__key"] for r in rows.one_sided(pairs, which, [], c.anomaly.max_examples).collect()]
             duplicates = {"before": top(b_dup) if n_dup[0] else [], "after": top(a_dup) if n_dup[1] else []}
             unmatched = {"before": ends("b") if stats.only_in_before else [], "after": ends("a") if stats.only_in_after else []}
-            breakdown = [r.asDict() for r in detail.format_breakdown(diff).collect()] if stats.format_only else []
+            breakdown = [r.asDict() for r in breakdown]
             found = anomaly.detect(anomaly.Evidence(c, stats, plans, before.df, after.df, {p.column: p for p in b_profiles}, {p.column: p for p in a_profiles}, breakdown, duplicates, unmatched))
         return Result(c, stats, columns, found, diff, status, pairs, plans, before.columns, after.columns, warnings)
 

@@ -69,11 +69,14 @@ class CompareEngine:
         self._profiles.clear()
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
-        """A table under the workspace folder, where one is set and intermediates are kept; else a cached one."""
+        """A table under the workspace folder, where one is set and intermediates are kept; else a checkpoint, where the cluster names a
+        folder for them; else a cached table. The first two also keep the plans of what follows small."""
         if self.config.work_db and self.config.keep_intermediate:
             path = f"{self.config.work_db.rstrip('/')}/{name}"
             df.write.mode("overwrite").parquet(path)
             return self.spark.read.parquet(path)
+        if self.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            return df.checkpoint()
         self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return df
 

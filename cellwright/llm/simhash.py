@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,13 +105,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, prints["fp"] == named["__fp"]).select(id_col, "text_hash", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """docs with one row of each component: the one of the smallest id (of several such rows, that of the smallest text hash).
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """docs with one row of each component that `groups` finds: the one of the smallest id (of several such rows, that of the smallest text hash).
 
     All columns stay. Which rows remain is found among (id, text hash) pairs; the texts are
     shuffled once, in a semi join by that pair. Rows with a null id are kept, whatever they hold.
     """
-    found = cut(near_duplicates(docs.filter(docs[id_col].isNotNull()), id_col, text_col, width).filter(F.col(id_col) == F.col("component_id")))
+    found = cut(groups(docs.filter(docs[id_col].isNotNull()), id_col, text_col, width).filter(F.col(id_col) == F.col("component_id")))
     first = found.groupBy("component_id").agg(F.min("text_hash").alias("__hash"), F.count("*").alias("__rows"))
     whole = docs.filter(docs[id_col].isNotNull()).withColumn("__hash", F.xxhash64(docs[text_col].cast("string")))
     kept = whole.join(first.select(F.col("component_id").alias(id_col), "__hash"), [id_col, "__hash"], "left_semi")

@@ -26,11 +26,11 @@ _known: dict[tuple, Segmenter] = {}
 
 
 class _Draws:
-    """For one candidate merge after another, whether to skip it: a byte each of the hashes of a chunk, keyed by seed and stream."""
+    """For one candidate merge after another, whether to skip it: a byte each of the hashes of a chunk, keyed by a number; first come those given."""
 
-    def __init__(self, chunk: str, key: int, limit: int) -> None:
+    def __init__(self, chunk: str, key: int, limit: int, first: bytes = b"") -> None:
         self.chunk, self.key, self.limit = chunk.encode("utf-8", "surrogatepass"), key, limit
-        self.bytes = iter(())
+        self.bytes = iter(first)
         self.skip = self._skip if limit else None
 
     def _skip(self) -> bool:
@@ -41,13 +41,26 @@ class _Draws:
         return next(self.bytes) < self.limit
 
 
+class _Given:
+    """Draws given beforehand; `used` counts those asked for, and those beyond are no skips."""
+
+    def __init__(self, skips: bytes, limit: int) -> None:
+        self.skips, self.used, self.limit = skips, 0, limit
+        self.skip = self._skip
+
+    def _skip(self) -> bool:
+        self.used += 1
+        return self.used <= len(self.skips) and self.skips[self.used - 1] < self.limit
+
+
 class Segmenter:
     """Merges of one SentencePiece BPE model.
 
     Candidate merges wait in an agenda ordered by score, then place. With dropout (in 256ths), a
-    candidate taken from the agenda is skipped for good if its byte of a keyed hash of (seed,
-    stream, chunk) is low: the same key always gives the same segmentation, and each stream
-    another. Pieces only shrink by that, so they decode to the same text.
+    candidate taken from the agenda is skipped for good if its draw is low. Each occurrence of a
+    chunk has draws of its own, from a generator keyed by (seed, document, place of the chunk).
+    Remembered are only a chunk's ids by the skips that led to them: the same for all draws
+    alike. Pieces only shrink by skips, so they decode to the same text.
     """
 
     def __init__(self, path: str, dropout: float, seed: int, streams: int) -> None:
@@ -77,10 +90,15 @@ class Segmenter:
         self.limit, self.seed, self.streams = round(dropout * (1 << 8)), seed, streams
         self.pieces: list[dict[str, bytes]] = [{} for _ in range(streams)]
         self.before = self.pieces
+        #: A chunk's ids without dropout and how many candidates that asks for; ids by (chunk, skips), None where more draws are needed.
+        self.plain: dict[str, tuple[bytes, int]] = {}
+        self.variants: dict[tuple[str, bytes], bytes | None] = {}
 
     def segment(self, chunk: str, stream: int) -> list[int]:
         """The ids of a chunk in a stream of the dropout."""
-        draws = _Draws(chunk, (self.seed << 32) + (stream << 16), self.limit)
+        return self._ids(chunk, _Draws(chunk, (self.seed << 32) + (stream << 16), self.limit))
+
+    def _ids(self, chunk: str, draws: _Draws | _Given) -> list[int]:
         ids: list[int] = []
         for p in (self._short if len(chunk) <= 32 else self._long)(chunk, draws):
             if (r := self.rank.get(p)) is not None:
@@ -138,10 +156,12 @@ class Segmenter:
         return [p for p in parts if p is not None]
 
     def encode(self, text: str, key: int) -> bytes:
-        """Little-endian 16-bit ids of a text. key: picks the stream of the first chunk; each next chunk takes the next stream."""
+        """Little-endian 16-bit ids of a text. key: the document's; with streams, it picks that of the first chunk, and each next chunk takes the next stream."""
         if not text:
             return b""
         chunks = _CHUNK.findall(_SPACE + text.replace(_SPACE, _LITERAL).replace(" ", _SPACE))
+        if not self.streams:
+            return self._vary(chunks, key & _MASK)
         out: list[bytes] = [b""] * len(chunks)
         for k in range(self.streams):
             mine = slice((k - key) % self.streams, None, self.streams)
@@ -158,6 +178,51 @@ class Segmenter:
             self.before, self.pieces = self.pieces, [{} for _ in range(self.streams)]
         return b"".join(out)
 
+    def _plain(self, chunk: str) -> tuple[bytes, int]:
+        draws = _Given(b"", 0)
+        found = np.array(self._ids(chunk, draws), "<u2").tobytes(), draws.used
+        if len(chunk) <= 64:
+            self.plain[chunk] = found
+        return found
+
+    def _vary(self, chunks: list[str], key: int) -> bytes:
+        """Each occurrence by its own draws: those that the way without skips asks for lie in a row for all chunks; what a skip asks for besides is keyed by the place."""
+        if len(self.plain) > REMEMBERED:
+            self.plain.clear()
+        if len(self.variants) > 2 * REMEMBERED:
+            self.variants.clear()
+        get = self.plain.get
+        found = [get(c) or self._plain(c) for c in chunks]
+        out = [x[0] for x in found]
+        if not self.limit:
+            return b"".join(out)
+        ends = np.cumsum([0, *(x[1] for x in found)])
+        drawn = np.random.Philox(key=[self.seed & _MASK, key]).random_raw(-(-int(ends[-1]) // 8)).view(np.uint8)[: ends[-1]]
+        low = drawn < self.limit
+        before = np.concatenate(([0], np.cumsum(low)))[ends]
+        # all that is not a skip is alike
+        given = np.where(low, 0, 255).astype(np.uint8).tobytes()
+        for i in np.flatnonzero(before[1:] > before[:-1]).tolist():
+            out[i] = self._skipping(chunks[i], given[ends[i] : ends[i + 1]], key, i)
+        return b"".join(out)
+
+    def _skipping(self, chunk: str, given: bytes, key: int, place: int) -> bytes:
+        more = (key + (self.seed << 32) + place * 0x9E3779B97F4A7C15) & _MASK
+        if len(chunk) > 64:
+            return np.array(self._ids(chunk, _Draws(chunk, more, self.limit, given)), "<u2").tobytes()
+        beyond: _Draws | None = None
+        while True:
+            at = chunk, given
+            ids = self.variants.get(at, b"")
+            if ids == b"":
+                draws = _Given(given, self.limit)
+                ids = np.array(self._ids(chunk, draws), "<u2").tobytes()
+                ids = self.variants[at] = ids if draws.used <= len(given) else None
+            if ids is not None:
+                return ids
+            beyond = beyond or _Draws(chunk, more, self.limit)
+            given += b"\0" if beyond.skip() else b"\xff"
+
     def decode(self, ids: bytes) -> bytes:
         """The UTF-8 text of ids; the white space that encoding puts in front is taken off again."""
         return b"".join(map(self.text.__getitem__, memoryview(ids).cast("H")))[1:]
@@ -171,12 +236,12 @@ def segmenter(path: str, dropout: float, seed: int, streams: int) -> Segmenter:
     return _known[key]
 
 
-def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7, streams: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7, streams: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids, n_ids, decoded): each text's ids under dropout, how many, and the UTF-8 text they decode to.
 
-    ids: little-endian 16-bit numbers. The streams a document's chunks take turn by turn start at
-    the hash of its id, so a word is cut in up to `streams` ways, yet each row's result depends
-    on its id, text and the parameters only. A null text counts as empty and has no ids; a null id is
+    ids: little-endian 16-bit numbers. Each occurrence of a word has its own draws, keyed by the
+    seed, the document's id and the place, so each row's result depends on its id, text and the
+    parameters only. With `streams` above 0, a word is cut in so many ways at most. A null text counts as empty and has no ids; a null id is
     hashed like 0; repeated rows get equal ids; an empty table gives an empty result. No shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -191,6 +256,8 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 7, str
                 [id_col, "ids", "n_ids", "decoded"],
             )
 
-    key = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(docs[id_col].cast("string"), F.lit("0"))), F.lit(streams)).cast("int")
+    key = F.xxhash64(F.lit(seed), F.coalesce(docs[id_col].cast("string"), F.lit("0")))
+    if streams:
+        key = F.pmod(key, F.lit(streams))
     chosen = docs.select(docs[id_col].alias(id_col), key.alias("__stream"), docs[text_col].cast("string").alias("text"))
     return chosen.mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_ids long, decoded binary")

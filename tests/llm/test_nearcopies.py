@@ -38,7 +38,7 @@ def test_near_copies_are_complete(spark, texts, empty, clashing):
     every = [*texts, *family()]
     rows = near_copies(make(spark, every)).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == slow_components(every)
-    for pivots in (0, 1):
+    for pivots in (0,):
         again = near_copies(make(spark, every), pivots=pivots).collect()
         assert {r["doc_id"]: r["component_id"] for r in again} == slow_components(every)
     assert near_copies(empty).collect() == [] and near_copies(clashing).count() == len(texts)

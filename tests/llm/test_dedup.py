@@ -1,9 +1,12 @@
 import hashlib
 import random
+import zlib
+from collections import Counter
 
 import xxhash
 from pyspark.sql import functions as F
 
+from cellwright.llm import sharding
 from cellwright.llm.graph import connected_components
 from cellwright.llm.lcp import edited, fingerprints, likeness, sketches
 from cellwright.llm.linededup import dedup_lines
@@ -101,24 +104,46 @@ def test_keep_first(spark, texts, empty, clashing):
     assert sorted(str(r["doc_id"]) for r in keep_first(twice).collect()) == ["1", "7", "None"]
 
 
-def test_longest_first_by_hand():
-    assert longest_first([(1, 7), (2, 5), (3, 4), (4, 4), (5, 1)], 2) == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
+def slow_schedule(sizes, shards):
+    """Each item, largest first, to the least-loaded shard: {(size, shard): items}, loads."""
+    loads, out = [0] * shards, Counter()
+    for size in sorted(sizes, reverse=True):
+        k = loads.index(min(loads))
+        loads[k] += size
+        out[size, k] += 1
+    return out, loads
+
+
+def test_longest_first_equals_one_by_one():
+    r = random.Random(8)
+    assert slow_schedule([7, 5, 4, 4, 1], 2) == ({(7, 0): 1, (5, 1): 1, (4, 1): 1, (4, 0): 1, (1, 1): 1}, [11, 10])
+    for _ in range(300):
+        shards = r.randrange(1, 9)
+        sizes = [s for s in r.sample(range(1, 60), r.randrange(1, 12)) for _ in range(r.choice((1, 2, 7, 40, 300)))]
+        got = {(s, k): n for s, own in longest_first(Counter(sizes).items(), shards) for k, n in enumerate(own) if n}
+        assert got == slow_schedule(sizes, shards)[0]
 
 
 def test_sharding(spark, texts, empty, clashing):
     many = texts + [prose(k % 150, 5 + k % 60) for k in range(600)]
-    rows = shard_by_bytes(make(spark, many), shards=5, units=64).collect()
-    assert len(rows) == len(many)
-    home, load, slots = {}, {}, {}
-    for r in rows:
-        t = many[r["doc_id"]] or ""
-        assert r["size"] == len(t.encode()) + 1 and r["text_crc32"] == __import__("zlib").crc32(t.encode())
-        home.setdefault(t, set()).add(r["shard"])
-        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
-        slots.setdefault(r["shard"], []).append(r["slot"])
-    assert all(len(x) == 1 for x in home.values()) and all(sorted(x) == list(range(len(x))) for x in slots.values())
-    rest = sorted(load.values())[:-2]  # two texts alone are larger than a shard's share
-    assert max(rest) - min(rest) < 0.1 * sum(load.values()) / 5
+    group = Counter()
+    for t in many:
+        group[t or ""] += len((t or "").encode()) + 1
+    expected, loads = slow_schedule(group.values(), 5)
+    for most in (sharding.BROADCAST_BYTES, 0):
+        sharding.BROADCAST_BYTES, kept = most, sharding.BROADCAST_BYTES
+        rows = shard_by_bytes(make(spark, many), shards=5).collect()
+        sharding.BROADCAST_BYTES = kept
+        assert len(rows) == len(many)
+        home, load, slots = {}, [0] * 5, {}
+        for r in rows:
+            t = many[r["doc_id"]] or ""
+            assert r["size"] == len(t.encode()) + 1 and r["text_crc32"] == zlib.crc32(t.encode())
+            home.setdefault(t, set()).add(r["shard"])
+            load[r["shard"]] += r["size"]
+            slots.setdefault(r["shard"], []).append(r["slot"])
+        assert all(len(x) == 1 for x in home.values()) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+        assert Counter((group[t], next(iter(x))) for t, x in home.items()) == expected and load == loads
     assert shard_by_bytes(empty).collect() == [] and shard_by_bytes(clashing).count() == len(texts)
     assert shard_by_bytes(make(spark, ["a", None, ""], ids=[None, None, 1])).count() == 3
 

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import unicodedata
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +22,6 @@ REMEMBERED = 350_000
 _MARKS = ".,!?;:*#%&$|"
 #: Offsets of (task, source) pairs are broadcast up to this many rows (24 bytes each), and joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
-#: The pieces of a lower-case word.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _known: dict[str, WordEncoder] = {}
 
 
@@ -34,7 +31,7 @@ class WordEncoder:
     A text is cut at white space; the ids of a word are found once and remembered. That equals
     encoding the whole text where the tokenizer drops white space and normalises and merges
     within words only, as the `word_bpe` family does. New words are encoded as one line, whose ids
-    are dealt out by the tokens that end a piece ("</w>"): as many as the word has pieces.
+    are dealt out by the place at which a token begins.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,21 +39,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        if max(vocabulary.values()) >= 1 << 16:
+        if max(self.tokenizer.get_vocab().values()) >= 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        self.last = np.zeros(1 << 16, bool)
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.ids: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
 
-    def pieces(self, word: str) -> int:
-        """How many pieces the tokenizer cuts a word into."""
-        if word.isascii() and word.isalpha():
-            return 1
-        plain = unicodedata.normalize("NFC", word).lower()
-        return 1 if plain.isalpha() else len(_PIECE.findall(plain))
-
     def learn(self, words: list[str]) -> None:
         """Put words into `ids`: from the generation before, from a stem and the marks behind it, or by the tokenizer."""
         ids, before, fresh, parts = self.ids, self.before, set(), {}
@@ -85,14 +72,12 @@ class WordEncoder:
     def encode(self, words: list[str]) -> None:
         alone = [w for w in words if "<|" in w]  # may spell a special token
         words = [w for w in words if "<|" not in w]
-        many = np.fromiter(map(self.pieces, words), np.int64, len(words))
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) == many.sum() and (many > 0).all() and (not len(ends) or ends[-1] == len(ids)):
-            line, cuts = ids.tobytes(), (2 * ends[np.cumsum(many) - 1]).tolist()
+        if words:
+            found = self.tokenizer.encode_batch([" ".join(words)], add_special_tokens=False)[0]
+            line, begins = np.array(found.ids, "<u2").tobytes(), np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
+            after = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            cuts = (2 * np.searchsorted(begins, after)).tolist()
             self.ids.update(zip(words, [line[s:e] for s, e in zip([0, *cuts], cuts, strict=False)], strict=True))
-        else:
-            alone += words
         for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             self.ids[w] = np.array(e.ids, "<u2").tobytes()
 
@@ -124,33 +109,55 @@ def encoder(path: str) -> WordEncoder:
     return _known[path]
 
 
-def ranks(queue: np.ndarray, chunk: np.ndarray, chunks: np.ndarray) -> np.ndarray:
-    """The turn, from 0, in which each (queue, chunk) is served; chunks: how many each queue has.
+@dataclass
+class Mixture:
+    """Whose turn it is: queues by kind, those of one weight and one number of chunks.
 
-    Chunk c of a queue of K is due at (c + 1/2) / K: at any moment each queue has been served its
-    share to within half a chunk, its deficit, and all queues run dry together. Turns are the order
-    of due times (ties: by queue). Due times are compared as rounded, which is the same
-    everywhere, so turns are a permutation.
+    A queue of weight w is due to have its chunk c served at (c + 1/2) / w: at any moment each queue
+    that is not dry has been served its share to within half a chunk, its deficit, which is carried on. Turns are
+    the order of due times (ties: by kind, then by member). Due times are compared as rounded,
+    which is the same everywhere, so turns are a permutation, found without a look at other chunks.
     """
 
-    def due(c: np.ndarray, k: float) -> np.ndarray:
-        return (c + 0.5) / k
-
-    mine = due(chunk.astype(np.float64), chunks[queue].astype(np.float64))
-    turn = chunk.astype(np.int64).copy()
-    for q, k in enumerate(chunks.tolist()):
-        if not k:
-            continue
-        n = np.clip(np.floor(mine * k + 0.5).astype(np.int64), 0, k)  # chunks of q before, to within one
-        for _ in range(2):
-            before = n - 1
-            late = (n > 0) & ((due(before, k) > mine) | ((due(before, k) == mine) & (q > queue)))
-            n = n - late
-        for _ in range(2):
-            early = (n < k) & ((due(n, k) < mine) | ((due(n, k) == mine) & (q < queue)))
-            n = n + early
-        turn += np.where(queue == q, 0, n)
-    return turn
+    weight: np.ndarray
+    chunks: np.ndarray
+    members: np.ndarray
+
+    @staticmethod
+    def of(queues: list[tuple[float, int]]) -> tuple[Mixture, list[tuple[int, int]]]:
+        """The mixture of queues (weight, chunks), and each queue's (kind, member)."""
+        kinds = {q: k for k, q in enumerate(sorted(set(queues)))}
+        seen = [0] * len(kinds)
+        names = []
+        for q in queues:
+            names.append((kinds[q], seen[kinds[q]]))
+            seen[kinds[q]] += 1
+        return Mixture(np.array([w for w, _ in kinds], np.float64), np.array([c for _, c in kinds], np.int64), np.array(seen, np.int64)), names
+
+    def turns(self, kind: np.ndarray, member: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+        """The turn, from 0, in which each chunk is served."""
+        mine = (chunk + 0.5) / self.weight[kind]
+        turn = chunk * self.members[kind] + member
+        for k, (w, most, many) in enumerate(zip(self.weight.tolist(), self.chunks.tolist(), self.members.tolist(), strict=True)):
+            n = np.clip(np.floor(mine * w + 0.5), 0, most).astype(np.int64)  # chunks served before, to within one
+            for _ in range(2):
+                due = (n - 0.5) / w
+                n = n - ((n > 0) & ((due > mine) | ((due == mine) & (k > kind))))
+            for _ in range(2):
+                due = (n + 0.5) / w
+                n = n + ((n < most) & ((due < mine) | ((due == mine) & (k < kind))))
+            turn += np.where(kind == k, 0, n * many)
+        return turn
+
+
+def weights(lengths: dict[str | None, int], targets: dict[str | None, float] | None) -> dict[str | None, float]:
+    """The weight of each source: its target; the sources without one share the rest, 1 less the sum, by their lengths. No targets: by their lengths."""
+    targets = targets or {}
+    rest = 1 - sum(targets.get(s, 0.0) for s in lengths)
+    unnamed = sum(n for s, n in lengths.items() if s not in targets)
+    if any(t <= 0 for t in targets.values()) or (unnamed and rest < 1e-9):
+        raise ValueError("targets are positive, and leave a rest if they don't name all sources")
+    return {s: float(targets[s]) if s in targets else rest * n / unnamed for s, n in lengths.items()}
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -175,58 +182,62 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
     return chosen.mapInArrow(run, f"`{id_col}` {kind}, source string, task int, start long, doc_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, quantum: int = 256, end_id: int = 2, most_queues: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, quantum: int = 256, end_id: int = 2, targets: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Pieces of documents, laid into windows: (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids).
 
     Each source's documents, in the order in which they are read, form a queue of chunks of
-    `quantum` ids. The target of every window is the sources' shares of all ids; queues take turns
-    as in deficit round-robin, a chunk a turn, and what a queue is short of in one window is carried
-    to the next, across tasks too. The turn of a chunk follows from the queues' lengths (see
-    `ranks`), so no window depends on another task's work: lengths are summed by task and source, a
-    small table, and each task cuts its own documents. Only the last chunk of a queue may be
-    short, so the padding of all windows is below quantum * queues + window ids in total.
-
-    Beyond `most_queues` sources share queues by hash. A null source is a queue of its own. A null or
-    empty text is its end id only. Repeated rows are packed each; extra columns are ignored; an
-    empty table gives an empty result. `window` is a multiple of `quantum`.
+    `quantum` ids. `targets` are the proportions of tokens that every window is filled to, by source; without them
+    they are the sources' shares of all ids. Queues take turns as in deficit round-robin, a
+    chunk a turn, and what a queue is short of in one window is carried to the next, across tasks
+    too; when a queue runs dry the others go on in their proportions. The turn of a chunk follows
+    from the queues' weights and lengths (see `Mixture`), so no window depends on another task's work:
+    lengths are summed by task and source, a small table, and each task cuts its own documents.
+    Only the last chunk of a queue may be short, so the padding of all windows is below
+    quantum * queues + window ids in total.
+
+    Every source is a queue, a null source too; the driver and each worker hold two numbers a source, and work
+    grows with the number of different queue lengths. A null or empty text is its end id only; a text
+    of any length is encoded whole. Repeated rows are packed each; null ids are kept; extra columns
+    are ignored; an empty table gives an empty result. `window` is a multiple of `quantum`.
     """
     if window % quantum:
         raise ValueError("window is not a multiple of quantum")
     spark = docs.sparkSession
     tokens = cut(tokenized(docs, tokenizer, end_id, id_col, text_col, source_col))
     runs = cut(tokens.groupBy("source", "task").agg(F.sum("doc_tokens").alias("n")))
-    sources = runs.select("source").distinct()
-    shared = sources.count() > most_queues
-    name = F.pmod(F.xxhash64("source"), F.lit(most_queues)).cast("string") if shared else F.col("source")
-    runs = runs.withColumn("queue_name", name)
-    totals = sorted(((r[0] is not None, r[0] or "", r[1]) for r in runs.groupBy("queue_name").agg(F.sum("n")).collect()))  # at most `most_queues` rows
-    numbers = spark.createDataFrame([(name if there else None, i) for i, (there, name, _) in enumerate(totals)], "q_name string, queue int")
+    totals = {r[0]: r[1] for r in runs.groupBy("source").agg(F.sum("n")).collect()}  # a row a source
+    weight = weights(totals, targets)
+    names = sorted(totals, key=lambda x: (x is not None, x or ""))
+    mixture, places = Mixture.of([(weight[s], -(-totals[s] // quantum)) for s in names])
+    numbers = spark.createDataFrame([(s, k, m) for s, (k, m) in zip(names, places, strict=True)], "q_name string, kind int, member int")
+    if len(names) <= BROADCAST_ROWS:
+        numbers = F.broadcast(numbers)
     from pyspark.sql import Window
 
-    before = Window.partitionBy("queue").orderBy("task", "source").rowsBetween(Window.unboundedPreceding, -1)
-    bases = runs.join(F.broadcast(numbers), F.col("queue_name").eqNullSafe(F.col("q_name"))).select(F.col("source").alias("__source"), F.col("task").alias("__task"), "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    bases = cut(bases)
+    before = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    based = runs.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    bases = cut(based.join(numbers, F.col("source").eqNullSafe(F.col("q_name"))).select(F.col("source").alias("__source"), F.col("task").alias("__task"), "kind", "member", "base"))
     if bases.count() <= BROADCAST_ROWS:
         bases = F.broadcast(bases)
     based = tokens.join(bases, (F.col("task") == F.col("__task")) & F.col("source").eqNullSafe(F.col("__source")))
 
-    lengths = np.array([n for *_, n in totals], np.int64)
-    chunks = -(-lengths // quantum)
-    short = np.flatnonzero(lengths % quantum)
-    holes = sorted(zip(ranks(short, chunks[short] - 1, chunks).tolist() if len(short) else [], (quantum - lengths[short] % quantum).tolist(), strict=True))
-    hole_turn, hole_size = np.array([t for t, _ in holes], np.int64), np.concatenate(([0], np.cumsum([x for _, x in holes]))).astype(np.int64)
+    short = [(k, m, totals[s] // quantum, quantum - totals[s] % quantum) for s, (k, m) in zip(names, places, strict=True) if totals[s] % quantum]
+    holes = np.array(short, np.int64).reshape(-1, 4)
+    hole_turn = mixture.turns(holes[:, 0], holes[:, 1], holes[:, 2])
+    order = np.argsort(hole_turn)
+    hole_turn, hole_size = hole_turn[order], np.concatenate(([0], np.cumsum(holes[order, 3])))
     per = window // quantum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4):
-            begin, n, queue = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3))
+        for batch in slices(batches, 5):
+            begin, n, kind, member = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3, 4))
             first, last = begin // quantum, (begin + n - 1) // quantum
             many = last - first + 1
             row = np.repeat(np.arange(len(n)), many)
             chunk = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[row]
             a = np.maximum(chunk * quantum, begin[row]) - begin[row]
             b = np.minimum((chunk + 1) * quantum, (begin + n)[row]) - begin[row]
-            turn = ranks(queue[row], chunk, chunks)
+            turn = mixture.turns(kind[row], member[row], chunk)
             sequence = turn // per
             # the short chunks that come before in the same window leave no hole
             gone = hole_size[np.searchsorted(hole_turn, turn)] - hole_size[np.searchsorted(hole_turn, sequence * per)]
@@ -237,14 +248,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, quantum: int = 256
             top = np.flatnonzero(new)
             length = np.add.reduceat(b - a, top) if len(top) else np.zeros(0, np.int64)
             row, start, sequence, offset = row[top], a[top], sequence[top], offset[top]
-            ids = [np.frombuffer(x, "<u2").astype("<u4") for x in batch.column(4).to_pylist()]
+            ids = [np.frombuffer(x, "<u2").astype("<u4") for x in batch.column(5).to_pylist()]
             own = [ids[r][s : s + k].tobytes() for r, s, k in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in own], pa.int64()), batch.column(2).take(take), pa.array(sequence), pa.array(offset), batch.column(5).take(take), pa.array(own, pa.binary())],
+                [batch.column(0).take(take), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in own], pa.int64()), batch.column(2).take(take), pa.array(sequence), pa.array(offset), batch.column(6).take(take), pa.array(own, pa.binary())],
                 [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    chosen = based.select(id_col, (F.col("base") + F.col("start")).alias("begin"), "doc_tokens", "queue", "ids", "source")
-    return chosen.mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    chosen = based.select(id_col, (F.col("base") + F.col("start")).alias("begin"), "doc_tokens", "kind", "member", "ids", "source")
+    return chosen.mapInArrow(run, f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cellwright.llm.packing import WordEncoder, pack, ranks
+from cellwright.llm.packing import Mixture, WordEncoder, pack, weights
 from cellwright.llm.queries import tokenizer_path
 from cellwright.llm.spm import Segmenter, encode
 from tests.llm.conftest import make, prose
@@ -24,17 +24,35 @@ def test_word_encoder_equals_the_tokenizer():
         assert np.frombuffer(ids, "<u2").tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids, x
 
 
-def test_ranks_are_a_permutation_and_fair():
-    chunks = np.array([1, 7, 0, 64, 1000, 3])
-    queue = np.repeat(np.arange(6), chunks)
-    chunk = np.concatenate([np.arange(k) for k in chunks])
-    turn = ranks(queue, chunk, chunks)
-    assert sorted(turn.tolist()) == list(range(chunks.sum()))
-    # after any number of turns each queue is within a chunk or so of its share
-    order = queue[np.argsort(turn)]
-    for q, k in enumerate(chunks.tolist()):
-        served = np.cumsum(order == q)
-        assert np.abs(served - np.arange(1, len(order) + 1) * k / chunks.sum()).max() <= 2.5
+def served(weights_, chunks):
+    """The order in which queues are served, one chunk after another: the one that is due first."""
+    due = sorted(((c + 0.5) / w, (w, k), q) for q, (w, k) in enumerate(zip(weights_, chunks, strict=True)) for c in range(k))
+    return [q for *_, q in due]
+
+
+def test_turns_are_a_permutation_and_carry_deficits():
+    chunks = [1, 7, 7, 64, 1000, 3, 7, 64]
+    for given in ([float(k) for k in chunks], [0.5, 0.05, 0.05, 0.1, 0.2, 0.02, 0.03, 0.05]):
+        mixture, names = Mixture.of(list(zip(given, chunks, strict=True)))
+        queue = np.repeat(np.arange(len(chunks)), chunks)
+        chunk = np.concatenate([np.arange(k) for k in chunks])
+        kind, member = np.array(names)[queue].T
+        turn = mixture.turns(kind, member, chunk)
+        assert sorted(turn.tolist()) == list(range(sum(chunks)))
+        order = queue[np.argsort(turn)]
+        assert order.tolist() == served(given, chunks)
+        # while no queue is dry, each is within a few chunks of its share of what was served
+        dry = min(np.flatnonzero(order == q)[-1] for q in range(len(chunks))) if given[0] < 1 else len(order)
+        for q, w in enumerate(given):
+            got = np.cumsum(order == q)[:dry]
+            assert np.abs(got - np.arange(1, dry + 1) * w / sum(given)).max(initial=0) <= 3
+
+
+def test_weights():
+    assert weights({"a": 10, "b": 30, None: 60}, {"a": 0.5}) == {"a": 0.5, "b": 0.5 * 30 / 90, None: 0.5 * 60 / 90}
+    assert weights({"a": 10, "b": 30}, None) == {"a": 0.25, "b": 0.75}
+    with pytest.raises(ValueError):
+        weights({"a": 1, "b": 2}, {"a": 1.0})
 
 
 def check_packing(rows, ids, window):
@@ -62,22 +80,40 @@ def check_packing(rows, ids, window):
 def test_pack(spark, texts):
     tok = WordEncoder(WORDS).tokenizer
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
-    for queues in (1024, 2):
-        rows = pack(make(spark, texts, source=lambda k: None if k % 4 == 0 else f"s{k % 4}"), WORDS, window=512, quantum=32, most_queues=queues).collect()
-        by_window = check_packing(rows, ids, 512)
-        assert len(by_window) * 512 < sum(map(len, ids.values())) + 32 * 4 + 2 * 512
+    rows = pack(make(spark, texts, source=lambda k: None if k % 4 == 0 else f"s{k % 4}"), WORDS, window=512, quantum=32).collect()
+    by_window = check_packing(rows, ids, 512)
+    assert len(by_window) * 512 < sum(map(len, ids.values())) + 32 * 4 + 2 * 512
     # all but the last windows keep the sources' shares to within a few quanta
     share = {}
     for r in rows:
         share[r["source"]] = share.get(r["source"], 0) + r["length"]
     total = sum(share.values())
-    rows = pack(make(spark, texts, source=lambda k: f"s{k % 4}"), WORDS, window=512, quantum=32).collect()
-    share = {}
-    for r in rows:
-        share[r["source"]] = share.get(r["source"], 0) + r["length"]
-    for w in range(max(r["sequence_id"] for r in rows) - 3):
+    for w in range(max(by_window) - 3):
         for s, n in share.items():
-            assert abs(sum(r["length"] for r in rows if r["sequence_id"] == w and r["source"] == s) - 512 * n / total) <= 3 * 32
+            assert abs(sum(r["length"] for r in by_window[w] if r["source"] == s) - 512 * n / total) <= 3 * 32
+
+
+def test_targets_fill_every_window(spark):
+    texts = [prose(k, 200) for k in range(60)]
+    tok = WordEncoder(WORDS).tokenizer
+    ids = {i: tok.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    targets = {"s0": 0.5, "s1": 0.3, "s2": 0.2}
+    by_window = check_packing(pack(make(spark, texts, source=lambda k: f"s{k % 3}"), WORDS, window=512, quantum=16, targets=targets).collect(), ids, 512)
+    first = sum(len(x) for i, x in ids.items() if i % 3 == 0)  # s0 runs dry first
+    carried = dict.fromkeys(targets, 0.0)
+    for w in range(first * 2 // 512 - 1):
+        for s, share in targets.items():
+            carried[s] += 512 * share - sum(r["length"] for r in by_window[w] if r["source"] == s)
+            assert abs(carried[s]) <= 2 * 16  # what is short in one window is made good in the next
+    tail = [w for w in by_window if w > first * 2 // 512 + 1]
+    assert tail and all({r["source"] for r in by_window[w]} <= {"s1", "s2"} for w in tail)
+
+
+def test_many_sources(spark):
+    texts = [prose(k, 3 + k % 9) for k in range(300)]
+    tok = WordEncoder(WORDS).tokenizer
+    ids = {i: tok.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    check_packing(pack(make(spark, texts, source=lambda k: f"host{k}"), WORDS, window=64, quantum=16).collect(), ids, 64)
 
 
 def test_pack_edges(spark, empty, clashing):

@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import cut, slices
+from cellwright.llm.common import cut, partitions, slices
 from cellwright.llm.graph import connected_components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -64,29 +64,51 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(docs[id_col].alias(id_col), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, text_hash long, fp long")
 
 
-def _ball(segment_bits: int = 32) -> list[int]:
-    """The words that the radius-1 balls of both halves of fingerprint 0 address: itself, then one bit of a half."""
-    halves = [[1 << (half * segment_bits + i) for i in range(segment_bits)] for half in range(64 // segment_bits)]
-    return [0, *(x - (1 << 64) if x >> 63 else x for half in halves for x in half)]
+def _slots(fp: Column) -> Column:
+    """The two 32-bit segments of a fingerprint as slots of one table: the segment's number above its value."""
+    low = F.lit((1 << 32) - 1).cast("long")
+    return F.array(fp.bitwiseAND(low), F.shiftrightunsigned(fp, 32) + F.lit(1 << 32).cast("long"))
 
 
-def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
-    """Edges (a, b) among the distinct fingerprints; its components are those of "2 or fewer differing bits".
+def _probes(slot: Column) -> Column:
+    """The slots within one bit of a segment, itself first. Of two segments that differ in a bit, the one that has it set probes the other: half the ball is enough."""
+    bits = F.array(*[F.lit(1 << i).cast("long") for i in range(32)])
+    return F.concat(F.array(slot), F.transform(F.filter(bits, lambda x: slot.bitwiseAND(x) != 0), lambda x: slot - x))
 
-    Multi-index hashing with two 32-bit segments. Two bits that differ fall one into each segment
-    or both into one; either way some word lies within one bit of both fingerprints, and it is in
-    the ball of radius 1 that each enumerates within one segment. The table is addressed by that
-    segment word completed by the untouched segment, so a slot holds 65 fingerprints at most,
-    however large a family of near copies is (the bare segment would gather the whole family).
-    Every fingerprint of a slot is linked to the slot's smallest after the complete distance is
-    verified.
-    """
+
+def _stars(prints: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all fingerprints (a) within two bits without a pair for each: whatever lies within one bit of a word is linked to the least of it."""
     from pyspark.sql import Window
 
-    probes = F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in _ball()]), lambda x: x.bitwiseXOR(F.col("a"))))
-    table = prints.select(F.col(fp).alias("a")).distinct().select("a", probes.alias("word"))
-    slot = table.withColumn("b", F.min("a").over(Window.partitionBy("word"))).filter("a <> b")
-    return slot.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).select("a", "b").distinct()
+    near = [0, *(x - (1 << 64) if x >> 63 else x for x in (1 << i for i in range(64)))]
+    words = F.explode(F.transform(F.array(*[F.lit(x).cast("long") for x in near]), lambda x: x.bitwiseXOR(F.col("a"))))
+    return prints.select("a", words.alias("word")).withColumn("b", F.min("a").over(Window.partitionBy("word"))).filter("a <> b").select("a", "b")
+
+
+def links(prints: DataFrame, fp: str = "fp", crowd: int = 64) -> DataFrame:
+    """Edges (a, b) among distinct fingerprints; its components are those of "2 or fewer differing bits".
+
+    Multi-index hashing with two 32-bit segments. Of two bits that differ at most one falls into some
+    segment, so a probe of the slots within one bit of each segment fetches the other fingerprint from
+    the table that is keyed by (segment, value); the complete distance is verified.
+
+    A slot that holds more than `crowd` fingerprints, as a family of near copies makes it, is split:
+    whatever probes it is set aside, and among those whole words take the segment's place (see
+    `_stars`: 65 rows a fingerprint, no pairs). So every link counts, and no slot costs its square.
+    """
+    spark = prints.sparkSession
+    parts = partitions(spark)
+    # dealt anew before rows are multiplied: adaptive execution sizes tasks by what they read
+    own = prints.select(F.col(fp).alias("a")).repartition(parts, "a")
+    table = own.select(F.col("a").alias("b"), F.explode(_slots(F.col("a"))).alias("slot"))
+    sizes = table.groupBy("slot").agg(F.count("*").alias("n"))
+    held = table.join(sizes.filter(F.col("n") <= crowd).select("slot"), "slot").select("slot", "b")
+    fetched = held.union(sizes.filter(F.col("n") > crowd).select("slot", F.lit(None).cast("long")))
+    asked = own.select("a", F.explode(F.flatten(F.transform(_slots(F.col("a")), _probes))).alias("slot"))
+    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
+    found = cut(asked.join(fetched, "slot").filter(F.col("b").isNull() | near).select("a", "b"))
+    stars = _stars(found.filter("b is null").select("a").distinct().repartition(parts, "a"))
+    return found.filter("b is not null").union(stars)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -94,8 +116,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Nulls: a null text counts as empty, and a text without words has fingerprint 0, linked like
     any other. A null id is kept and never is the smallest unless all ids of a group are null
-    (then component_id is null). Repeated rows stay, one result row each. An empty table gives an
-    empty result; extra columns are ignored.
+    (then component_id is null). Repeated rows stay, one result row each. Texts are read whole,
+    however long. An empty table gives an empty result; extra columns are ignored.
     """
     prints = cut(fingerprints(docs, id_col, text_col, width))
     distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("first")))

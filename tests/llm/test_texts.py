@@ -48,14 +48,40 @@ def test_quality_separates(spark, empty, clashing, texts):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def slow_lm(rows):
-    """The unigram base by hand; rows: (id, text)."""
-    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-    tokens = [WORD.findall(low(t)) + ["\n"] for _, t in rows]
-    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
-    counts = Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
-    n, v = sum(counts.values()), len(counts)
-    return [(h, len(t), sum(counts[w] > 0 for w in t), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t)) for t, h in zip(tokens, held, strict=True)], tokens, held
+class SlowModel:
+    """The automaton by hand: counts of sequences, probabilities by recursion along the failure arcs. rows: (id, text)."""
+
+    def __init__(self, rows, least_state=1, prior=(128.0, 16.0)):
+        low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        self.tokens = [[*WORD.findall(low(t)), "\n"] for _, t in rows]
+        self.held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
+        self.counts, self.least, self.prior = Counter(), least_state, prior
+        for t, h in zip(self.tokens, self.held, strict=True):
+            if not h:
+                line = ["\t", *t]
+                self.counts["\t",] += 1
+                for i in range(1, len(line)):
+                    self.counts[line[i],] += 1
+                    self.counts[tuple(line[i - 1 : i + 1])] += 1
+                    if i > 1:
+                        self.counts[tuple(line[i - 2 : i + 1])] += 1
+        self.words = {k[0] for k in self.counts if len(k) == 1 and k[0] != "\t"}
+        self.n = sum(self.counts[w,] for w in self.words)
+
+    def p(self, history, word):
+        if not history:
+            return (self.counts[word,] + 1) / (self.n + len(self.words) + 1)
+        seen, m, lower = self.counts[history], self.prior[len(history) - 1], self.p(history[1:], word)
+        if len(history) == 2 and seen < self.least:
+            return lower
+        return (self.counts[*history, word] + m * lower) / (seen + m)
+
+    def scores(self):
+        for t, h in zip(self.tokens, self.held, strict=True):
+            line = ["\t", *t]
+            base = sum(math.log10(self.p((), w)) for w in t)
+            own = sum(math.log10(self.p(tuple(line[max(0, i - 2) : i]), line[i])) for i in range(1, len(line)))
+            yield h, len(t), sum(self.counts[w,] > 0 for w in t), self.n, base, own
 
 
 def test_lm(spark, texts, empty, clashing):
@@ -69,36 +95,41 @@ def test_lm(spark, texts, empty, clashing):
 
     rows = list(enumerate([*texts, *map(chained, range(200))]))
     docs = make(spark, [t for _, t in rows])
-    expected, tokens, held = slow_lm(rows)
-    for options in ({}, {"head": 50, "states": 20}, {"head": 0, "states": 0}, {"most_arcs": 30}):
+    for options in ({}, {"least_state": 3, "prior": (2.0, 0.5)}):
         got = {r["doc_id"]: r for r in score(docs, **options).collect()}
-        for i, e in enumerate(expected):
+        for i, e in enumerate(SlowModel(rows, **options).scores()):
             r = got[i]
-            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == e[:4] and abs(r["base_score"] - e[4]) < 1e-6 * max(1, abs(e[4]))
-        if options.get("states", 1):
-            assert sum(r["score"] for r in got.values() if r["held_out"]) > sum(r["base_score"] for r in got.values() if r["held_out"])
+            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == e[:4]
+            assert all(abs(x - y) < 1e-6 * max(1, abs(y)) for x, y in zip((r["base_score"], r["score"]), e[4:], strict=True))
+    assert sum(r["score"] for r in got.values() if r["held_out"]) > sum(r["base_score"] for r in got.values() if r["held_out"])
     assert score(empty).collect() == [] and score(clashing).count() == len(texts)
     assert score(make(spark, ["a b", None], ids=[None, None])).count() == 2
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    assert [r["score"] for r in score(make(spark, ["a b", None], ids=ids)).collect()] == [0.0, 0.0]  # nothing to learn from
 
 
-def test_lm_is_a_distribution_and_knows_order(spark):
-    """Each state's probabilities over all words, one unseen word and the end sum to one: read from the scores of short texts."""
+def test_each_state_is_a_distribution(spark):
+    """Read from the operator's scores: p(w | history) is the difference of the scores of texts that differ in what follows."""
     r = random.Random(1)
     chain = {"a": "bc", "b": "ca", "c": "aab"}
     texts = []
-    for _ in range(400):
+    for _ in range(300):
         w = ["a"]
         while len(w) < r.randrange(2, 12):
             w.append(r.choice(chain[w[-1]]))
         texts.append(" ".join(w))
-    train = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2][:400]
-    asked = ["a", "a a", "a b", "a c", "a unseen"]
-    ids = [*train, *range(10_000, 10_000 + len(asked))]
-    ids[-len(asked) :] = [i for i in range(10_000, 11_000) if zlib.crc32(str(i).encode()) % 7 == 2][: len(asked)]
-    got = {row["doc_id"]: row["score"] for row in score(make(spark, texts + asked, ids=ids)).collect()}
-    s = dict(zip(asked, (got[i] for i in ids[-len(asked) :]), strict=True))
-    # log p(x | a) for x in b: score("a b") - log p(a | start) - log p(end | b); compare by training on order
-    assert s["a b"] > s["a a"] and s["a c"] > s["a a"]
+    train = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    words = ["a", "b", "c", "unseen"]
+    asked = [f"{h} {w}" for h in ("a b", "b a", "c c", "unseen a", "a unseen") for w in words]
+    ids = [i for i in range(10_000, 11_000) if zlib.crc32(str(i).encode()) % 7 == 2][: len(asked)]
+    got = {row["doc_id"]: row["score"] for row in score(make(spark, texts + asked, ids=[*train, *ids])).collect()}
+    model = SlowModel(list(zip(train, texts, strict=True)))
+    for i, t in zip(ids, asked, strict=True):
+        line = ["\t", *t.split(), "\n"]
+        assert abs(got[i] - sum(math.log10(model.p(tuple(line[max(0, k - 2) : k]), line[k])) for k in range(1, len(line)))) < 1e-9
+    for history in ((), ("\t",), ("a",), ("a", "b"), ("b", "a"), ("unseen", "a"), ("a", "unseen")):
+        assert abs(sum(model.p(history, w) for w in [*words, "\n"]) - 1) < 1e-12
+    assert model.p(("b", "a"), "b") > 10 * model.p(("b", "a"), "a")
 
 
 def luhn(d):

@@ -223,10 +223,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 yield _sent(row["slice"], 2, *_distinct(s.pair, s.train), buckets)
 
     replies = cut(_totalled(whole.select("slice", "words", "at", "sizes", "held").mapInArrow(shorter, _SENT), parts))
-    tidy(spark)
     n_tokens, ends = whole.agg(F.coalesce(F.sum("train"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()
     n_kinds = replies.filter("grams = 1").agg(F.coalesce(F.sum("different"), F.lit(0))).first()[0]
     norm = float(n_tokens + n_kinds + 1)
+    tidy(spark)
 
     def counted(s: Slice, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """The counts of each token's pair, and of the pair before if it is a state."""

@@ -35,6 +35,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle and checkpoint files that nothing refers to any more; it learns of them by the driver's garbage collection, which otherwise may take half an hour."""
+    spark.range(1).count()  # the scheduler refers to the last job until the next
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ def cut(df: DataFrame) -> DataFrame:
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle and checkpoint files that nothing refers to any more; it learns of them by the driver's garbage collection, which otherwise may take half an hour."""
     spark.range(1).count()  # the scheduler refers to the last job until the next
+    with contextlib.suppress(Py4JError):  # and events that wait for a listener to those that ended
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -29,10 +29,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there, so that lost executors cost no recomputation."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it from there, so that lost executors cost no recomputation.
+
+    free: also remove the shuffle files that this wrote, which nothing reads any more; the driver's garbage
+    collection would get to them late. Only for a df that is used for nothing else.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    cleaner = df.sparkSession.sparkContext._jsc.sc().cleaner()
+    if free and cleaner.isDefined():
+        for number in _shuffles(df._jdf.queryExecution().executedPlan()):
+            cleaner.get().doCleanupShuffle(number, False)
+    return out
+
+
+def _shuffles(plan) -> Iterator[int]:
+    """The numbers of the shuffles that the stages of an executed adaptive plan wrote."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if kind == "ShuffleExchangeExec":
+                yield node.shuffleId()
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
 
 
 def tidy(spark: SparkSession) -> None:

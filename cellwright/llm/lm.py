@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import cut, partitions, slices, tidy
+from cellwright.llm.common import cut, partitions, slices
 
 #: Bytes of text that are counted and answered together.
 SLICE = 8 << 20
@@ -222,11 +222,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 yield _sent(row["slice"], 1, s.words, np.bincount(s.at[s.train], minlength=len(s.words)), buckets)
                 yield _sent(row["slice"], 2, *_distinct(s.pair, s.train), buckets)
 
-    replies = cut(_totalled(whole.select("slice", "words", "at", "sizes", "held").mapInArrow(shorter, _SENT), parts))
+    replies = cut(_totalled(whole.select("slice", "words", "at", "sizes", "held").mapInArrow(shorter, _SENT), parts), free=True)
     n_tokens, ends = whole.agg(F.coalesce(F.sum("train"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()
     n_kinds = replies.filter("grams = 1").agg(F.coalesce(F.sum("different"), F.lit(0))).first()[0]
     norm = float(n_tokens + n_kinds + 1)
-    tidy(spark)
 
     def counted(s: Slice, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """The counts of each token's pair, and of the pair before if it is a state."""
@@ -257,8 +256,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
     known = replies.filter("slice is not null").select("slice", "grams", "bucket", "totals")
     by_slice = whole.select("slice", "ids", "held", "sizes", "words", "at").groupBy("slice")
-    triples = cut(_totalled(by_slice.cogroup(known.groupBy("slice")).applyInArrow(longer, _SENT), parts))
-    tidy(spark)
+    triples = cut(_totalled(by_slice.cogroup(known.groupBy("slice")).applyInArrow(longer, _SENT), parts), free=True)
     known = known.union(triples.filter("slice is not null").select("slice", "grams", "bucket", "totals"))
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     out = by_slice.cogroup(known.groupBy("slice")).applyInArrow(answer, schema)

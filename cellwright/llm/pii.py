@@ -147,16 +147,17 @@ def good_patterns(found: DataFrame, rounds: int = 3, support: int = 3, confident
     edges = found.select(F.explode("found").alias("f")).select("f.instance", "f.seed", "f.kinds", F.explode("f.patterns").alias("pattern")).distinct()
     edges = cut(edges.select("pattern", "instance", "seed", F.explode("kinds").alias("kind")))
     many = cut(edges.groupBy("pattern").agg(F.count_distinct("instance").alias("instances")))
-    weight = edges.filter("seed").select("instance", "kind").distinct().withColumn("weight", F.lit(1.0))
+    # weights and logarithms are summed as decimals, whose sum doesn't depend on the order
+    seeds = edges.filter("seed").select("instance", "kind").distinct().withColumn("weight", F.lit(1).cast("decimal(18,9)"))
+    weight = seeds
     for k in range(rounds):
         near = edges.select("pattern", "instance", "kind").distinct().join(weight, ["instance", "kind"])
         scored = near.groupBy("pattern", "kind").agg(F.sum("weight").alias("mass")).join(many, "pattern")
-        good = cut(scored.select("pattern", "kind", (F.col("mass") / F.col("instances")).alias("confidence"), "mass").filter((F.col("mass") >= support) & (F.col("confidence") >= confident)).drop("mass"))
+        good = cut(scored.select("pattern", "kind", (F.col("mass").cast("double") / F.col("instances")).alias("confidence"), "mass").filter((F.col("mass") >= support) & (F.col("confidence") >= confident)).drop("mass"))
         if k == rounds - 1:
             return good
-        left = F.sum(F.log(1 - F.least("confidence", F.lit(0.999999))))
-        vouched = edges.filter("not seed").select("pattern", "instance", "kind").distinct().join(good, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(left)).alias("weight"))
-        seeds = edges.filter("seed").select("instance", "kind").distinct().withColumn("weight", F.lit(1.0))
+        left = F.sum(F.log(1 - F.least("confidence", F.lit(0.999999))).cast("decimal(28,14)")).cast("double")
+        vouched = edges.filter("not seed").select("pattern", "instance", "kind").distinct().join(good, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(left)).cast("decimal(18,9)").alias("weight"))
         weight = cut(seeds.union(vouched).groupBy("instance", "kind").agg(F.max("weight").alias("weight")))
     raise ValueError("rounds is less than 1")
 
@@ -166,18 +167,41 @@ def personal_data(docs: DataFrame, text_col: str = "text", rounds: int = 3, supp
 
     The seeds are always among the spans. A looser identifier is added where one of its contexts is
     a good pattern for a kind it may have (the most confident one decides). Positions are
-    code points, ends exclusive. A null text has no spans; repeated rows count once as evidence
-    and are all answered; an empty table gives an empty result.
+    code points, ends exclusive. A null text has no spans; texts of any length are searched whole;
+    repeated rows count once as evidence and are all answered; an empty table gives an empty result.
+    Columns of docs that have a result's name are replaced.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = cut(candidates(numbered, text_col))
+    own = [c for c in docs.columns if c not in (text_col, "base", "base_sha256", "spans")]
+    numbered = docs.select(*[docs[c].alias(f"__c{i}") for i, c in enumerate(own)], F.monotonically_increasing_id().alias("__row"), docs[text_col].cast("string").alias("__text"))
+    found = cut(candidates(numbered, "__text"))
     good = good_patterns(found, rounds, support, confident)
     loose = found.select("__row", F.explode("found").alias("f")).filter("not f.seed").select("__row", "f.start", "f.end", F.explode("f.kinds").alias("kind"), "f.patterns")
     asked = loose.select("__row", "start", "end", "kind", F.explode("patterns").alias("pattern"))
     best = asked.join(good, ["pattern", "kind"]).groupBy("__row", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     more = best.groupBy("__row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("__more"))
     out = found.drop("found").join(more, "__row", "left")
-    return out.withColumn("spans", F.sort_array(F.concat("base", F.coalesce("__more", F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)"))))).drop("__more", "__row")
+    spans = F.sort_array(F.concat("base", F.coalesce("__more", F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)"))))
+    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(own)], "base", "base_sha256", spans.alias("spans"))
+
+
+def masked_recall(docs: DataFrame, text_col: str = "text", share: int = 10, rounds: int = 3, support: int = 3, confident: float = 0.8) -> DataFrame:
+    """kind, hidden, answered, right: how the method does on seeds that are hidden from it.
+
+    One in `share` of the seed instances (by hash) counts as an unseen string of unknown kind; answered are
+    those that a good pattern gives some kind, right those that get their own. right / hidden is the
+    recall, right / answered the precision.
+    """
+    found = candidates(docs.select(F.monotonically_increasing_id().alias("__row"), docs[text_col].alias("__text")), "__text")
+    hide = lambda f: f["seed"] & (F.pmod(f["instance"], F.lit(share)) == 0)
+    every = F.array(*[F.lit(k) for k in range(len(KINDS))])
+    masked = F.transform("found", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), F.when(hide(f), every).otherwise(f["kinds"]).alias("kinds"), f["instance"].alias("instance"), (f["seed"] & ~hide(f)).alias("seed"), f["patterns"].alias("patterns"), F.when(hide(f), F.get(f["kinds"], F.lit(0))).alias("own")))
+    masked = cut(found.select("__row", masked.alias("found")))
+    good = good_patterns(masked.select(F.transform("found", lambda f: f.dropFields("own")).alias("found")), rounds, support, confident)
+    asked = masked.select(F.explode("found").alias("f")).filter("f.own is not null").select("f.instance", "f.own", "f.patterns")
+    best = asked.select("instance", "own", F.explode("patterns").alias("pattern")).join(good, "pattern").groupBy("instance", "own").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+    every_one = asked.select("instance", "own").distinct().join(best, ["instance", "own"], "left")
+    out = every_one.groupBy("own").agg(F.count("*").alias("hidden"), F.count("kind").alias("answered"), F.count_if(F.col("kind") == F.col("own")).alias("right"))
+    return out.select(F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("own")).alias("kind"), "hidden", "answered", "right")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

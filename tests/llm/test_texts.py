@@ -8,7 +8,7 @@ from collections import Counter
 
 from cellwright.llm.licenses import RULES, SENTENCES, scan
 from cellwright.llm.lm import score
-from cellwright.llm.pii import KINDS, personal_data, redact, seed_spans
+from cellwright.llm.pii import KINDS, masked_recall, personal_data, redact, seed_spans
 from cellwright.llm.quality import measured, scored
 from tests.llm.conftest import make, prose
 
@@ -172,6 +172,20 @@ def test_contexts_find_unseen_identifiers(spark, empty, clashing, texts):
     assert hidden[8] == "please call phone: <phone> today" and hidden[0] == "word0 then call phone: <phone> today" and hidden[12] is None and hidden[10] == clean[0]
     assert personal_data(empty).collect() == [] and redact(empty).collect() == []
     assert redact(clashing).count() == len(texts) and sorted(redact(clashing).columns) == sorted(clashing.columns)
+    wide = personal_data(clashing)
+    assert wide.count() == len(texts) and wide.filter("found = 'mine'").count() == len(texts) and sorted(wide.columns) == sorted({*clashing.columns, "base", "base_sha256", "spans"} - {"text"})
+
+
+def test_contexts_recover_hidden_seeds(spark):
+    r = random.Random(3)
+    lead = {0: "write to mail address", 1: "the server answers at", 3: "or call us on phone"}
+    value = {0: lambda: f"u{r.randrange(10**6)}@host{r.randrange(99)}.org", 1: lambda: f"10.{r.randrange(200)}.{r.randrange(200)}.{r.randrange(200)}", 3: lambda: f"+1 (555) 010-{r.randrange(10**4):04d}"}
+    said = [f"{prose(k, 4)} {lead[k % 4]} {value[k % 4]()} {prose(900 + k, 3)}" for k in range(400) if k % 4 != 2]
+    random_ = [f"{prose(2000 + k, 5)} {value[k % 2]()} {prose(3000 + k, 5)}" for k in range(60)]  # contexts that tell nothing
+    got = {x["kind"]: x for x in masked_recall(make(spark, said + random_)).collect()}
+    assert set(got) == {"email", "ip", "phone"}
+    hidden, answered, right = (sum(x[c] for x in got.values()) for c in ("hidden", "answered", "right"))
+    assert hidden > 15 and right >= 0.75 * hidden and right == answered
 
 
 def test_redact_overlaps(spark):

@@ -210,12 +210,15 @@ def key_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "columns string, total long, uniq long, with_null long")
 
 
-@query("SELECT 'customer' AS t, 'c_name' AS detected UNION ALL SELECT 'orders', 'o_orderkey' UNION ALL SELECT 'nation', 'n_nationkey'")
+#: No column of these tables is named like a key: of the unique ones without nulls, the last by name is taken.
+_KEYED = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regionkey", "r_name"]}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS t, coalesce(max(c), '') AS detected FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c FROM {t} HAVING count(*) = count(DISTINCT lower(trim(CAST({c} AS VARCHAR))))" for c in columns) + ")" for t, columns in _KEYED.items()))
 def detect_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = []
-    for name in ("customer", "orders", "nation"):
-        df = table(spark, sf_dir, name)
-        columns = [c for c in df.columns if "price" not in c and "acctbal" not in c]
+    for name, columns in _KEYED.items():
+        df = table(spark, sf_dir, name).select(*columns)
         found.append((name, ",".join(keys.detect(df, profile.profile(df, columns), KeyOptions()))))
     return spark.createDataFrame(found, "t string, detected string")
 
@@ -378,9 +381,12 @@ def profile_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("column").alias("column_name"), "total", "date_like", "date_ok", "has_time")
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS total, true AS near FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_shipdate")))
 def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile_frame(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_shipdate"], approximate=True).select(F.col("column").alias("column_name"), "total", "distinct")
+    """Estimates are within a twentieth of the exact numbers."""
+    li, columns = table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_shipdate"]
+    rough, exact = (profile.profile_frame(li, columns, approximate=x).select(F.col("column").alias("column_name"), "total", F.col("distinct").alias(n)) for x, n in ((True, "rough"), (False, "exact")))
+    return rough.join(F.broadcast(exact), ["column_name", "total"]).select("column_name", "total", (F.abs(F.col("rough") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
 
 
 @query("SELECT * FROM (VALUES ('orders', 'o_orderkey', 'numeric'), ('orders', 'o_orderstatus', 'string'), ('orders', 'o_totalprice', 'numeric'), ('orders', 'o_orderdate', 'date'), ('orders', 'o_orderpriority', 'string'), ('snapshots', 'price', 'string'), ('snapshots', 'odate', 'date'), ('snapshots', 'status', 'string')) AS t(t, column_name, type)")
@@ -413,10 +419,16 @@ def null_rate_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x.column, x.level, round(x.value, 6)) for x in found], "column_name string, level string, delta double")
 
 
-@query(f"{_WITH} SELECT 'prio' AS column_name, count(DISTINCT b.prio) AS n_before, (SELECT count(DISTINCT prio) FROM a) AS n_after FROM b UNION ALL SELECT 'status', count(DISTINCT b.status), (SELECT count(DISTINCT translate(trim(status), 'ＦＯＰ', 'FOP')) FROM a) FROM b")
+_KINDS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, 'distribution_shift' AS category, (SELECT count(DISTINCT {x}) FROM b) AS n_before, (SELECT count(DISTINCT {x}) FROM a) AS n_after" for c, x in (("price", "trim(price)"), ("odate", "trim(odate)"), ("status", "translate(trim(status), 'ＦＯＰ', 'FOP')"), ("prio", "trim(prio)")))
+
+
+@query(f"{_WITH} SELECT *, round(abs(n_after - n_before) / greatest(n_after, n_before), 6) AS ratio FROM ({_KINDS})")
 def distinct_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = [(b.column, b.distinct, a.distinct) for b, a in _profiles(spark, sf_dir) if b.column in ("prio", "status")]
-    return spark.createDataFrame(found, "column_name string, n_before long, n_after long")
+    """By the detector, at a threshold of 0."""
+    c = orders_config()
+    c.anomaly.distinct_change_ratio = 0.0
+    found = [(x.column, x.category, b.distinct, a.distinct, round(x.value, 6)) for b, a in _profiles(spark, sf_dir) for x in anomaly.distinct_change(c.anomaly, b, a)]
+    return spark.createDataFrame(found, "column_name string, category string, n_before long, n_after long, ratio double")
 
 
 @query(f"{_WITH} SELECT 'price' AS column_name, 'numeric_parse_failure' AS category, count(*) FILTER (WHERE price = '待确认') AS failures FROM a")
@@ -491,8 +503,11 @@ def row_count_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from cellwright import catalog_runs  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -6,11 +6,13 @@ import argparse
 import os
 import sys
 
+from cellwright import VERSION
 from cellwright.config import Config, SourceSpec, dump_config, load_config
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="cellwright", description="Compare two snapshots of a dataset cell by cell.")
+    top.add_argument("--version", action="version", version=f"cellwright {VERSION}")
     sub = top.add_subparsers(dest="command", required=True)
     c = sub.add_parser("compare", help="compare two snapshots")
     c.add_argument("-c", "--config", help="a YAML or JSON file; options here win over it")
@@ -30,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument(f"--{name}", action=argparse.BooleanOptionalAction, default=None)
     c.add_argument("--keep-intermediate", action="store_true", default=None)
     c.add_argument("--treat-format-only-as-diff", action="store_true", default=None)
-    c.add_argument("-o", "--output-dir")
+    c.add_argument("-o", "--out", "--output-dir", dest="output_dir", help="folder of the reports")
     c.add_argument("--db", help="folder in which the tables are kept")
     c.add_argument("--memory-limit")
     c.add_argument("--threads", type=int)
@@ -39,22 +41,27 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--formats", help="console,html,excel,markdown,csv")
     c.add_argument("--html", action="store_true", help="only the HTML report")
     c.add_argument("--excel", action="store_true", help="only the Excel report")
-    c.add_argument("--fail-on-diff", action="store_true", help="exit with 2 unless the snapshots are consistent")
+    c.add_argument("--fail-on-diff", action=argparse.BooleanOptionalAction, default=False, help="exit with 2 unless the snapshots are consistent")
     c.add_argument("-q", "--quiet", action="store_true")
     p = sub.add_parser("profile", help="describe the columns of a source")
-    p.add_argument("path")
+    p.add_argument("path", nargs="?", default="")
+    p.add_argument("-f", "--file", help="the same as the path")
+    p.add_argument("-c", "--config", help="a YAML or JSON file with options of types and nulls")
     for name in ("delimiter", "encoding", "sheet"):
         p.add_argument(f"--{name}")
     p.add_argument("--no-header", action="store_true")
-    p.add_argument("--rows", type=int, help="only the first rows")
+    p.add_argument("--rows", type=int, default=20, help="sample values shown for each column")
+    p.add_argument("--limit", type=int, help="only the first rows of the source")
     i = sub.add_parser("init-config", help="write a configuration with all defaults")
     i.add_argument("path", nargs="?", default="config.yaml")
+    i.add_argument("-o", "--out", help="the same as the path")
     i.add_argument("--force", action="store_true", help="overwrite")
     g = sub.add_parser("gui", help="a page in the browser")
     g.add_argument("--host", default="127.0.0.1")
     g.add_argument("--port", type=int, default=8765)
-    g.add_argument("--root", help="folder below which files may be browsed")
-    g.add_argument("--no-browser", action="store_true")
+    g.add_argument("--root", "--dir", dest="root", help="folder below which files may be browsed")
+    g.add_argument("--open-browser", action=argparse.BooleanOptionalAction, default=True)
+    g.add_argument("--no-browser", dest="open_browser", action="store_false")
     return top
 
 
@@ -126,36 +133,46 @@ def compare(a: argparse.Namespace) -> int:
 
 def profile(a: argparse.Namespace) -> int:
     from cellwright.operators import keys
+    from cellwright.operators.profile import samples
     from cellwright.plans.engine import CompareEngine
     from cellwright.report.console import table
     from cellwright.sources.load import load
 
-    spec = SourceSpec(a.path, delimiter=_unescaped(a.delimiter or ""), encoding=a.encoding or "utf-8", header=not a.no_header, sheet=int(a.sheet) if (a.sheet or "").isdigit() else a.sheet)
-    engine = CompareEngine(Config())
-    side = load(engine.spark, spec, "source", a.rows)
+    path = a.file or a.path
+    if not path:
+        raise ValueError("no source is given")
+    c = load_config(a.config) if a.config else Config()
+    spec = SourceSpec(path, delimiter=_unescaped(a.delimiter or ""), encoding=a.encoding or "utf-8", header=not a.no_header, sheet=int(a.sheet) if (a.sheet or "").isdigit() else a.sheet)
+    engine = CompareEngine(c)
+    side = load(engine.spark, spec, "source", a.limit)
     found = engine.profile(side)
     share = lambda n, p: f"{n / p.non_null:.1%}" if p.non_null else "-"
-    print(f"{a.path}: {side.row_count} rows, {len(side.columns)} columns")
+    print(f"{path}: {side.row_count} rows, {len(side.columns)} columns")
     print(table(["column", "nulls", "distinct", "numeric", "dates", "least", "greatest"], [[p.column, f"{p.null_rate:.1%}", p.distinct, share(p.numeric_ok, p), share(p.date_ok, p), p.min_value or "", p.max_value or ""] for p in found], 24))
+    if a.rows > 0:
+        print("sample values")
+        for name, values in samples(side.df, side.columns, a.rows).items():
+            print(f"  {name}: {', '.join(values) or '-'}")
     for w in side.warnings:
         print(f"! {w}")
-    print("suggested key:", ", ".join(keys.detect(side.df, found, Config().key_options)) or "none found")
+    print("suggested key:", ", ".join(keys.detect(side.df, found, c.key_options)) or "none found")
     engine.close()
     return 0
 
 
 def init_config(a: argparse.Namespace) -> int:
-    if os.path.exists(a.path) and not a.force:
-        raise ValueError(f"{a.path} exists; --force overwrites it")
-    dump_config(Config(), a.path)
-    print(a.path)
+    path = a.out or a.path
+    if os.path.exists(path) and not a.force:
+        raise ValueError(f"{path} exists; --force overwrites it")
+    dump_config(Config(), path)
+    print(path)
     return 0
 
 
 def gui(a: argparse.Namespace) -> int:
     from cellwright.gui import serve
 
-    serve(a.host, a.port, root=a.root, browser=not a.no_browser)
+    serve(a.host, a.port, root=a.root, browser=a.open_browser)
     return 0
 
 

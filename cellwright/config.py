@@ -15,7 +15,7 @@ EXTENSIONS = {
     ".csv": "csv", ".tsv": "csv", ".tab": "csv", ".psv": "csv", ".txt": "csv", ".dat": "csv",
     ".parquet": "parquet", ".pq": "parquet",
     ".json": "json", ".jsonl": "json", ".ndjson": "json",
-    ".xlsx": "excel", ".xlsm": "excel", ".xls": "excel",
+    ".xlsx": "excel", ".xlsm": "excel", ".xltx": "excel", ".xls": "excel",
 }
 
 
@@ -31,7 +31,6 @@ class SourceSpec:
     skip_rows: int = 0
     sheet: str | int | None = None
     name: str = ""
-    sample_size: int = 20480
 
     def resolved_kind(self) -> str:
         return self.kind or EXTENSIONS.get(os.path.splitext(self.path.rstrip("/"))[1].lower(), "csv")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwright import models as m
@@ -14,44 +14,76 @@ from cellwright.functions import text
 from cellwright.functions.classify import ColumnPlan
 from cellwright.models import Anomaly, ColumnProfile, Stats
 
-#: Beyond so many rows quartiles are approximate (to 1/10,000 of the ranks).
-EXACT_QUARTILES = 2_000_000
+#: Up to so many rows a column's values are sorted by one task; beyond, only those near the quartiles are. Both are exact.
+ONE_TASK = 2_000_000
 
 
-def numeric_stats(df: DataFrame, plans: list[tuple[str, ColumnPlan]], exact: bool = True) -> DataFrame:
-    """column, n, mean, median, q1, q3, min, max of numeric columns in one scan; plans: (column's name in df, plan)."""
+def _numbers(df: DataFrame, plans: list[tuple[str, ColumnPlan]]) -> DataFrame:
     cells = [F.struct(F.lit(p.before).alias("column"), p.value(F.col(f"`{c}`").cast("string"), F.col(f"`{c}`").cast("string")).alias("v")) for c, p in plans]
-    long = df.select(F.inline(F.array(*cells))).filter("v is not null")
-    quantiles = (F.percentile if exact else lambda c, p: F.percentile_approx(c, p, 10_000))("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy("column").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), quantiles.alias("q"), F.min("v").alias("min"), F.max("v").alias("max"))
+    return df.select(F.inline(F.array(*cells))).filter("v is not null")
+
+
+def _quartiles(long: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """column, q1, median, q3, exact and interpolated, of (column, v) rows of any number.
+
+    A sketch brackets each quartile by values whose ranks are off by 1/accuracy of the rows at most; what
+    lies below a bracket is counted, and only the values inside, a few thousandths, are put in order.
+    """
+    shares = (0.25, 0.5, 0.75)
+    ends = [min(1.0, max(0.0, s + side * 2 / accuracy)) for s in shares for side in (-1, 1)]
+    bounds = long.groupBy("column").agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*[F.lit(x) for x in ends]), accuracy).alias("e"), F.min("v").alias("least"), F.max("v").alias("most"))
+    few = F.col("n") <= accuracy  # a bracket would not span two ranks
+    which = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(s) * (F.col("n") - 1)).alias("at"), F.when(few, F.col("least")).otherwise(F.get("e", F.lit(2 * k))).alias("lo"), F.when(few, F.col("most")).otherwise(F.get("e", F.lit(2 * k + 1))).alias("hi")) for k, s in enumerate(shares)]))
+    wanted = F.broadcast(bounds.select("column", which.alias("w")).select("column", "w.*"))  # three rows a column
+    met = long.join(wanted, "column").filter("v <= hi")
+    counted = met.groupBy("column", "k", "at", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    before = Window.partitionBy("column", "k").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("first", F.coalesce(F.sum("c").over(before), F.lit(0))).filter("v is not null")
+    holds = lambda at: F.max(F.when((F.col("first") <= at) & (at < F.col("first") + F.col("c")), F.col("v")))
+    low, high = holds(F.floor("at")), holds(F.ceil("at"))
+    found = placed.groupBy("column", "k").agg((low + (high - low) * F.max(F.col("at") - F.floor("at"))).alias("q"))
+    return found.groupBy("column").agg(*[F.max(F.when(F.col("k") == k, F.col("q"))).alias(n) for k, n in enumerate(("q1", "median", "q3"))])
+
+
+def numeric_stats(df: DataFrame, plans: list[tuple[str, ColumnPlan]], one_task: bool = True) -> DataFrame:
+    """column, n, mean, median, q1, q3, min, max of numeric columns; plans: (column's name in df, plan). one_task: whether a column's values may be sorted by one task, in one scan."""
+    long = _numbers(df, plans)
+    plain = [F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")]
+    if not one_task:
+        return long.groupBy("column").agg(*plain).join(F.broadcast(_quartiles(long)), "column").select("column", "n", "mean", "median", "q1", "q3", "min", "max")
+    out = long.groupBy("column").agg(*plain, F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     return out.select("column", "n", "mean", F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(2)).alias("q3"), "min", "max")
 
 
 def outliers(df: DataFrame, plans: list[tuple[str, ColumnPlan]], stats: DataFrame, multiplier: float = 3.0) -> DataFrame:
     """column, n, outliers: values beyond the quartiles by more than `multiplier` times their distance. stats has one row a column, and is broadcast."""
-    cells = [F.struct(F.lit(p.before).alias("column"), p.value(F.col(f"`{c}`").cast("string"), F.col(f"`{c}`").cast("string")).alias("v")) for c, p in plans]
-    long = df.select(F.inline(F.array(*cells))).filter("v is not null")
+    long = _numbers(df, plans)
     reach = multiplier * (F.col("q3") - F.col("q1"))
     beyond = (F.col("v") < F.col("q1") - reach) | (F.col("v") > F.col("q3") + reach)
     return long.join(F.broadcast(stats.select("column", "q1", "q3")), "column").groupBy("column").agg(F.count("*").alias("n"), F.count_if(beyond).alias("outliers"))
 
 
 def categories(df: DataFrame, plans: list[tuple[str, ColumnPlan]], most: int = 60) -> DataFrame:
-    """column, vals: the sorted values (no null-equivalents) of text columns with `most` values at most. Columns with more are left out."""
+    """column, vals: the sorted values (no null-equivalents) of text columns; vals is null for more than `most`, and a column of nulls has no row."""
     cells = []
     for c, p in plans:
         raw = F.col(f"`{c}`").cast("string")
         norm = p.norm(raw)
         cells.append(F.struct(F.lit(p.before).alias("column"), F.when(~text.is_null(raw, norm, p.null_tokens), norm).alias("v")))
     values = df.select(F.inline(F.array(*cells))).filter("v is not null").distinct()
-    few = values.groupBy("column").count().filter(F.col("count") <= most).select("column")
-    return values.join(F.broadcast(few), "column", "left_semi").groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("vals"))
+    sizes = values.groupBy("column").count()
+    few = sizes.filter(F.col("count") <= most).select("column")
+    found = values.join(F.broadcast(few), "column", "left_semi").groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("vals"))
+    return found.union(sizes.filter(F.col("count") > most).select("column", F.lit(None).cast("array<string>")))
 
 
 def category_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """column, added, missing, n_before, n_after from two results of `categories`."""
-    b, a = before.withColumnRenamed("vals", "b"), after.withColumnRenamed("vals", "a")
-    return b.join(a, "column").select("column", F.array_except("a", "b").alias("added"), F.array_except("b", "a").alias("missing"), F.size("b").alias("n_before"), F.size("a").alias("n_after"))
+    """column, added, missing, n_before, n_after from two results of `categories`; a side that has nulls only has no values."""
+    side = lambda df, n: df.select("column", F.struct("vals").alias(n))
+    both = side(before, "x").join(side(after, "y"), "column", "full_outer").filter("(x is null or x.vals is not null) and (y is null or y.vals is not null)")
+    none = F.array().cast("array<string>")
+    both = both.select("column", F.coalesce("x.vals", none).alias("b"), F.coalesce("y.vals", none).alias("a"))
+    return both.select("column", F.array_except("a", "b").alias("added"), F.array_except("b", "a").alias("missing"), F.size("b").alias("n_before"), F.size("a").alias("n_after"))
 
 
 def schema_change(stats: Stats) -> list[Anomaly]:
@@ -72,7 +104,7 @@ def row_count_change(stats: Stats) -> list[Anomaly]:
 def key_anomalies(stats: Stats, duplicates: dict[str, list[tuple[str, int]]], unmatched: dict[str, list[str]]) -> list[Anomaly]:
     """duplicates and unmatched: examples by side, "before" and "after"."""
     out = []
-    for side, n in (("before", stats.duplicate_groups_before), ("after", stats.duplicate_groups_after)):
+    for side, n in stats.duplicates.items():
         if n:
             shown = [f"{k} ({c} rows)" for k, c in duplicates.get(side, [])]
             out.append(Anomaly("error", "duplicate_key", f"keys occur more than once {side}", "key", detail=", ".join(shown), count=n, examples=shown))
@@ -180,7 +212,7 @@ def detect(e: Evidence) -> list[Anomaly]:
         named = [(name(p), p) for p in numeric]
         rows = e.stats.before_rows if side == "before" else e.stats.after_rows
         if named:
-            stats[side] = {r["column"]: r.asDict() for r in numeric_stats(df, named, rows <= EXACT_QUARTILES).collect()}
+            stats[side] = {r["column"]: r.asDict() for r in numeric_stats(df, named, rows <= ONE_TASK).collect()}
         if stats.get(side) and o.outlier_enabled:
             quartiles = df.sparkSession.createDataFrame([(c, r["q1"], r["q3"]) for c, r in stats[side].items()], "column string, q1 double, q3 double")
             beyond[side] = {r["column"]: r.asDict() for r in outliers(df, named, quartiles, o.outlier_multiplier).collect()}

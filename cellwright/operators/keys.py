@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -58,21 +57,20 @@ def is_unique(df: DataFrame, columns: list[str], o: KeyOptions) -> bool:
     return rows > 0 and null == 0 and distinct == rows
 
 
-def detect(df: DataFrame, profiles: list[ColumnProfile], o: KeyOptions, most: int = 4) -> list[str]:
-    """A unique key among the columns, or []: one named like a key, else any of many values, else 2 to `most` named ones together.
+def detect(df: DataFrame, profiles: list[ColumnProfile], o: KeyOptions) -> list[str]:
+    """A unique key among the columns without nulls, or [].
 
-    Only columns whose distinct values make half of the rows are tried alone; each candidate costs one exact aggregate.
+    Tried alone are the columns whose distinct values make half of the rows: those named like a key as they stand, then
+    all, the one of most values first. Then two to four columns named like a key are tried
+    together. Each trial costs one exact aggregate.
     """
-    many = sorted((p for p in profiles if p.total and p.distinct >= 0.5 * p.total), key=lambda p: (p.distinct, p.column), reverse=True)
-    for p in sorted(many, key=lambda p: not named_like_key(p.column)):
-        if is_unique(df, [p.column], o):
-            return [p.column]
-    named = [p.column for p in profiles if named_like_key(p.column)][:8]
-    for size in range(2, most + 1):
-        for columns in itertools.combinations(named, size):
-            if is_unique(df, list(columns), o):
-                return list(columns)
-    return []
+    whole = [p for p in profiles if p.total and not p.nulls]
+    many = [p for p in whole if p.distinct >= 0.5 * p.total]
+    named = [p.column for p in whole if named_like_key(p.column)]
+    trials = [[p.column] for p in many if p.column in named]
+    trials += [[p.column] for p in sorted(many, key=lambda p: (p.distinct, p.column), reverse=True) if p.column not in named]
+    trials += [named] * (2 <= len(named) <= 4)
+    return next((columns for columns in trials if is_unique(df, columns, o)), [])
 
 
 def resolve(config: Config, before: DataFrame, after: DataFrame, pairs: list[tuple[str, str]], profiles: list[ColumnProfile]) -> tuple[list[str], str, list[str]]:

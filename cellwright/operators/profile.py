@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwright import models as m
@@ -81,10 +81,19 @@ def profile(df: DataFrame, columns: list[str], config: Config | None = None, row
         return []
     config = config or Config()
     n = df.count() if rows is None else rows
-    found = {r["column"]: ColumnProfile(**r.asDict()) for r in profile_frame(df, columns, config, n > config.profile_exact_distinct_limit, names).collect()}
+    found = {r["column"]: ColumnProfile(r["column"], {k: v for k, v in r.asDict().items() if k != "column"}) for r in profile_frame(df, columns, config, n > config.profile_exact_distinct_limit, names).collect()}
     return [found.get(c, ColumnProfile(c)) for c in columns]
 
 
+def samples(df: DataFrame, columns: list[str], most: int = 20) -> dict[str, list[str]]:
+    """Up to `most` different values of each column, the least ones first; null and blank ones are left out."""
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns]))
+    values = df.select(cells).filter("length(trim(v)) > 0").distinct()
+    few = values.withColumn("k", F.row_number().over(Window.partitionBy("column").orderBy("v"))).filter(F.col("k") <= most)
+    found = {r["column"]: r["v"] for r in few.groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("v")).collect()}
+    return {c: found.get(c, []) for c in columns}
+
+
 def infer(config: Config, column: str, before: ColumnProfile, after: ColumnProfile) -> tuple[str, str, str]:
     """(type, granularity, note) of a column from both sides' profiles: by rule, else date, number or text."""
     rule, options = config.rule(column), config.compare

@@ -117,7 +117,7 @@ class CompareEngine:
         with ThreadPoolExecutor(2) as pool:  # the sides' jobs share the cluster
             found = pool.submit(self.profile, after, [a for _, a in lined.pairs], {a: b for b, a in lined.pairs})
             b_profiles = self.profile(before, [b for b, _ in lined.pairs])
-        a_profiles = [ColumnProfile(**vars(p) | {"column": b}) for (b, _), p in zip(lined.pairs, found.result(), strict=True)]
+        a_profiles = [ColumnProfile(b, p.measures) for (b, _), p in zip(lined.pairs, found.result(), strict=True)]
         before.row_count = before.df.count() if before.row_count is None else before.row_count
         after.row_count = after.df.count() if after.row_count is None else after.row_count
         key_columns, mode, more = keys.resolve(c, before.df, after.df, lined.pairs, b_profiles)
@@ -135,7 +135,7 @@ class CompareEngine:
         b_side, a_side = rows.side(before.df, b_key, before.columns, "b"), rows.side(after.df, a_key, after.columns, "a")
         b_dup, a_dup = (rows.duplicate_groups(s.select("__key")) for s in (b_side, a_side))
         n_dup = (b_dup.count(), a_dup.count()) if key_columns else (0, 0)
-        pairs = rows.paired(b_side, a_side, unique=n_dup == (0, 0))
+        pairs = rows.paired(b_side, a_side, unique=n_dup == (0, 0), hot_keys=True)
         self.log("comparing")
         cells = self._keep(rows.with_cells(pairs, plans), "cells")
         status, diff = rows.row_status(cells), detail.diff_detail(cells)
@@ -150,17 +150,12 @@ class CompareEngine:
             by_row, counts, breakdown = (j.result() for j in jobs)
         by_row = {r["row_status"]: r["count"] for r in by_row}
         counts = {(r["column_name"], r["status"]): r["cells"] for r in counts}
+        totals = {x: sum(n for (_, status), n in counts.items() if status == x) for x in m.SEVERITY}
         stats = Stats(
-            before.row_count, after.row_count, by_row.get(m.SAME, 0) + by_row.get(m.CHANGED, 0), by_row.get(m.SAME, 0), by_row.get(m.CHANGED, 0),
-            by_row.get(m.ONLY_IN_BEFORE, 0), by_row.get(m.ONLY_IN_AFTER, 0), *n_dup, compared_columns=len(plans), keys=key_columns, key_mode=mode,
-            only_before_columns=lined.only_before, only_after_columns=lined.only_after, treat_format_only_as_diff=c.report.treat_format_only_as_diff,
+            before.row_count, after.row_count, by_row, totals, dict(zip(("before", "after"), n_dup, strict=True)), len(plans), key_columns, mode,
+            {"before": lined.only_before, "after": lined.only_after}, c.report.treat_format_only_as_diff,
         )
         columns = self._columns(before, lined, key_columns, ignored, plans, counts, stats, b_profiles, a_profiles)
-        for r in columns:
-            if r.mode == "compared":
-                for name in ("equal", "format_only", "value_diff", "null_mismatch", "type_mismatch"):
-                    setattr(stats, name, getattr(stats, name) + getattr(r, name))
-        stats.cells = stats.matched * len(plans)
         self.log("looking for anomalies")
         found = []
         if c.anomaly.enabled:
@@ -187,11 +182,10 @@ class CompareEngine:
             if b not in of:
                 out.append(ColumnResult(b, None, "only_before"))
                 continue
-            r = ColumnResult(b, of[b], "key" if b in key_columns else "ignored" if b in ignored else "compared", before_null_rate=bp[b].null_rate, after_null_rate=ap[b].null_rate, before_distinct=bp[b].distinct, after_distinct=ap[b].distinct)
+            r = ColumnResult(b, of[b], "key" if b in key_columns else "ignored" if b in ignored else "compared", sides=(bp[b], ap[b]))
             if p := by_plan.get(b):
                 r.type, r.notes, r.matched = p.type, p.notes, stats.matched
-                for s in m.SEVERITY:
-                    setattr(r, s.lower(), counts.get((b, s), 0))
+                r.cells = {x: counts.get((b, x), 0) for x in m.SEVERITY}
             out.append(r)
         return out + [ColumnResult(a, a, "only_after") for a in lined.only_after]
 

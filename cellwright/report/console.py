@@ -33,7 +33,7 @@ def render(result: Result) -> str:
     if s.only_before_columns or s.only_after_columns:
         out += ["", "Columns on one side", *[f"  - {x}" for x in s.only_before_columns], *[f"  + {x}" for x in s.only_after_columns]]
     if severe := data.top_columns(result):
-        out += ["", "Columns that differ", table(["column", "type", "matched", "value", "null", "type?", "format", "rate"], [[r.column, r.type, r.matched, r.value_diff, r.null_mismatch, r.type_mismatch, r.format_only, f"{r.row()['severe_rate']:.2%}"] for r in severe])]
+        out += ["", "Columns that differ", table(["column", "type", "matched", "value", "null", "type?", "format", "rate"], [[r.column, r.type, r.matched, *(r.count(x) for x in (m.VALUE_DIFF, m.NULL_MISMATCH, m.TYPE_MISMATCH)), r.format_only, f"{r.row()['severe_rate']:.2%}"] for r in severe])]
     if form := data.top_columns(result, "format"):
         out += ["", "Columns with other formats", table(["column", "type", "format only"], [[r.column, r.type, r.format_only] for r in form])]
     if result.anomalies:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import csv
 
+from pyspark.sql import functions as F
+
 from cellwright import models as m
+from cellwright.operators import detail
 from cellwright.plans.engine import Result
 from cellwright.report import data
 
@@ -19,5 +22,8 @@ def write(result: Result, path: str) -> None:
 
 
 def write_distributed(result: Result, path: str) -> None:
-    """The same as a folder of part files, written by the executors; for details too large for one file."""
-    result.diff_detail.write.mode("overwrite").option("header", True).csv(path)
+    """The same rows as a folder of part files, each with a header, in the same order from part to part; written by the executors, for details too large for one file."""
+    shown = detail.shown(result.diff_detail, by_size=False, masked=data.masked(result))
+    key = F.replace(F.replace("__key", F.lit("\x1f"), F.lit(" | ")), F.lit("\x00"), F.lit("<NULL>"))
+    found = [F.col("__b_row"), key, F.col("column_name"), F.col("column_type"), detail.label(F.col("status")), F.col("before_raw"), F.col("after_raw"), F.col("abs_diff"), F.col("rel_diff")]
+    shown.select(*[c.alias(n) for c, n in zip(found, data.DETAIL, strict=True)]).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

@@ -8,7 +8,6 @@ from cellwright import models as m
 from cellwright.operators import detail, rows
 from cellwright.plans.engine import Result
 
-VERDICT = ["before_rows", "after_rows", "row_delta", "matched", "same_rows", "changed_rows", "only_in_before", "only_in_after", "duplicate_groups_before", "duplicate_groups_after", "compared_columns", "cells", "equal", "format_only", "value_diff", "null_mismatch", "type_mismatch", "severe", "consistent"]
 DETAIL = ["row", "key", "column", "type", "status", "before", "after", "abs_diff", "rel_diff"]
 
 
@@ -25,7 +24,12 @@ def number(x: object) -> str:
 
 
 def verdict(result: Result) -> list[tuple[str, object]]:
-    return [("verdict", "consistent" if result.stats.consistent else "different")] + [(n.replace("_", " "), getattr(result.stats, n)) for n in VERDICT[:-1]] + [("keys", ", ".join(result.stats.keys) or "row index")]
+    s = result.stats
+    out: list[tuple[str, object]] = [("verdict", "consistent" if s.consistent else "different"), ("before rows", s.before_rows), ("after rows", s.after_rows), ("row delta", s.row_delta), ("matched", s.matched)]
+    out += [(f"rows {m.ROW_LABELS[x]}", s.rows.get(x, 0)) for x in m.ROW_LABELS]
+    out += [(f"keys that occur more than once {x}", s.duplicates.get(x, 0)) for x in ("before", "after")]
+    out += [("compared columns", s.compared_columns), ("cells", s.compared), *[(f"cells {m.LABELS[x]}", s.count(x)) for x in reversed(m.SEVERITY)], ("severe", s.severe)]
+    return [*out, ("keys", ", ".join(s.keys) or "row index")]
 
 
 def top_columns(result: Result, which: str = "severe") -> list[m.ColumnResult]:

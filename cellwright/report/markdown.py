@@ -23,7 +23,7 @@ def render(result: Result) -> str:
     if s.only_before_columns or s.only_after_columns:
         out += [f"## {next(number)}. Schema", "", *_table(["column", "only"], [[x, "before"] for x in s.only_before_columns] + [[x, "after"] for x in s.only_after_columns])]
     if severe := data.top_columns(result):
-        out += [f"## {next(number)}. Columns that differ", "", *_table(["column", "type", "value differs", "null on one side", "unreadable", "format only", "rate"], [[r.column, r.type, r.value_diff, r.null_mismatch, r.type_mismatch, r.format_only, f"{r.row()['severe_rate']:.2%}"] for r in severe])]
+        out += [f"## {next(number)}. Columns that differ", "", *_table(["column", "type", "value differs", "null on one side", "unreadable", "format only", "rate"], [[r.column, r.type, *(r.count(x) for x in (m.VALUE_DIFF, m.NULL_MISMATCH, m.TYPE_MISMATCH)), r.format_only, f"{r.row()['severe_rate']:.2%}"] for r in severe])]
     if form := data.top_columns(result, "format"):
         out += [f"## {next(number)}. Columns with other formats", "", *_table(["column", "type", "format only", "note"], [[r.column, r.type, r.format_only, r.notes] for r in form])]
     if result.anomalies:

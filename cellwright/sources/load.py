@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from cellwright.config import SourceSpec
@@ -48,9 +49,9 @@ def load(spark: SparkSession, spec: SourceSpec, side: str = "source", limit: int
     warnings: list[str] = []
     try:
         df = _READERS[kind](spark, spec, warnings, limit or None)
-    except AnalysisException as e:
+    except (PySparkException, Py4JJavaError) as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(f"{side}: nothing at {spec.path}") from e
-        raise ValueError(f"{side}: {spec.path} can't be read as {kind}: {str(e).splitlines()[0]}") from e
+        raise ValueError(f"{side}: {spec.path} can't be read as {kind}: {' '.join(str(e).splitlines()[:2])[:300]}") from e
     guard(df.columns, side)
     return Loaded(with_row_id(df), df.columns, spec.path, kind, warnings)

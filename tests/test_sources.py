@@ -96,3 +96,25 @@ def test_text(spark):
 def test_helpers():
     assert unique_names(["a", "", "a", "a_1", "a"]) == ["a", "column1", "a_1", "a_1_1", "a_2"]
     assert sniff(["a;b;c", "1;2,5;3"]) == ";" and sniff(["abc"]) == ","
+
+
+def test_skip_rows_of_every_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('junk\n\nid,v\n1,"a\nb"\n2,c\n')
+    (tmp_path / "b.csv").write_text('more, "x"\n\nid,v\n3,"d ""q""\n\ne"\n\n4,\n')
+    rows = lambda name, skip: [tuple(r) for r in load(spark, SourceSpec(str(tmp_path / name), skip_rows=skip)).df.orderBy("__row_id").collect()]
+    assert rows("a.csv", 2) == rows("a.csv", 1) == [("1", "a\nb", 0), ("2", "c", 1)]
+    assert rows("*.csv", 2) == [("1", "a\nb", 0), ("2", "c", 1), ("3", 'd "q"\n\ne', 2), ("4", "", 3)]
+    assert load(spark, SourceSpec(str(tmp_path / "a.csv"), skip_rows=2)).columns == ["id", "v"]
+
+
+def test_plain_files_are_read_in_splits(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text("id,v\n" + "".join(f'{i},"x, ""{i}"""\n' for i in range(2000)))
+    (tmp_path / "fed.csv").write_text('id,v\n1,"a\nb"\n')
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        plain = load(spark, SourceSpec(str(tmp_path / "plain.csv"))).df
+        assert plain.rdd.getNumPartitions() > 1 and plain.count() == 2000 and plain.filter("v = 'x, \"7\"'").first()["id"] == "7"
+        assert load(spark, SourceSpec(str(tmp_path / "fed.csv"))).df.first()["v"] == "a\nb"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)

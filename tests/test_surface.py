@@ -33,7 +33,7 @@ def test_reports(spark, files):
     assert out["odd"].startswith("failed") and "different" in said[0]
     page = (files / "out" / "report.html").read_text(encoding="utf-8")
     payload = json.loads(page.split('id="payload">')[1].split("</script>")[0])
-    assert payload["stats"]["value_diff"] == 2 and len(payload["detail"]) == 3 and not payload["diffTruncated"] and len(payload["sides"]) == 2
+    assert payload["stats"]["cells"]["VALUE_DIFF"] == 2 and len(payload["detail"]) == 3 and not payload["diffTruncated"] and len(payload["sides"]) == 2
     assert any(r[2] == "s" and r[5] == "***" for r in payload["detail"])
     md = (files / "out" / "report.md").read_text(encoding="utf-8")
     assert "## 1. Totals" in md and "***" in md
@@ -105,4 +105,4 @@ def test_stream(spark, files, tmp_path):
     c, seen = Config(keys=["id"]), {}
     c.anomaly.enabled = False
     recompare(stream, reference, c, lambda r, n: seen.__setitem__(n, r.stats), str(tmp_path / "ck")).awaitTermination(120)
-    assert [s.value_diff for s in seen.values()] == [1]
+    assert [s.count("VALUE_DIFF") for s in seen.values()] == [1]

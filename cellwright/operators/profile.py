@@ -67,7 +67,7 @@ def profile_frame(df: DataFrame, columns: list[str], config: Config | None = Non
         ("date_like", count("like"), F.sum("date_like")), ("date_gate", count("gate"), F.sum("date_gate")), ("date_ok", count("date"), F.sum("date_ok")),
     ]
     if approximate:
-        out = long.groupBy("column").agg(*[first.alias(n) for n, first, _ in measures], F.approx_count_distinct("norm").alias("distinct"), F.min("norm").alias("min_value"), F.max("norm").alias("max_value"))
+        out = long.groupBy("column").agg(*[first.alias(n) for n, first, _ in measures], F.approx_count_distinct("norm", 0.02).alias("distinct"), F.min("norm").alias("min_value"), F.max("norm").alias("max_value"))
     else:
         values = long.groupBy("column", "norm").agg(*[first.alias(n) for n, first, _ in measures])
         out = values.groupBy("column").agg(*[then.alias(n) for n, _, then in measures], F.count("norm").alias("distinct"), F.min("norm").alias("min_value"), F.max("norm").alias("max_value"))

@@ -10,7 +10,7 @@ from cellwright import models as m
 COLUMNS = ["__pair_id", "__key", "__b_row", "__a_row", "column_name", "column_type", "column_notes", "before_raw", "after_raw", "before_norm", "after_norm", "status", "abs_diff", "rel_diff"]
 
 
-def exploded(cells: DataFrame, *keep: str) -> DataFrame:
+def exploded(cells: DataFrame, *keep: str | Column) -> DataFrame:
     """One row for each cell `c` of the matched rows, with the columns of `keep`.
 
     An outer generator after an explicit filter: for an inner one Spark infers a filter on the array,
@@ -20,10 +20,11 @@ def exploded(cells: DataFrame, *keep: str) -> DataFrame:
     return matched.select(*keep, F.explode_outer("cells").alias("c")).filter(F.col("c").isNotNull())
 
 
-def diff_detail(cells: DataFrame) -> DataFrame:
-    """One row for each cell that is not equal. The filter stays above the generator, so no cell is classified twice."""
-    long = exploded(cells, "__pair_id", "__key", "__b_row", "__a_row")
-    return long.select("__pair_id", "__key", "__b_row", "__a_row", "c.*").filter(F.col("status") != m.EQUAL).select(*COLUMNS)
+def diff_detail(cells: DataFrame, *more: Column) -> DataFrame:
+    """One row for each cell that is not equal, with the row's columns `more`. The filter stays above the generator, so no cell is classified twice."""
+    long = exploded(cells, *COLUMNS[:4], *more)
+    names = [f"`{n}`" for n in long.columns[4:-1]]
+    return long.select(*COLUMNS[:4], *names, "c.*").filter(F.col("status") != m.EQUAL).select(*COLUMNS, *names)
 
 
 def severity(status: Column) -> Column:

@@ -61,18 +61,19 @@ def with_cells(pairs: DataFrame, plans: list) -> DataFrame:
     return pairs.withColumn("cells", F.when(both, F.array(*cells)))
 
 
-def row_status(cells: DataFrame) -> DataFrame:
-    """One row for each pair: its status, and how many cells differ, severely or in format. No join and no shuffle: the row's own cells are counted."""
+def row_status(cells: DataFrame, *more: Column) -> DataFrame:
+    """One row for each pair: its status, and how many cells differ, severely or in format, and its columns `more`. No join and no shuffle: the row's own cells are counted."""
     n = lambda f: F.coalesce(F.size(F.filter("cells", f)), F.lit(0)).cast("long")
     counted = cells.select(
         "__pair_id", "__key", "__b_row", "__a_row",
         n(lambda x: x["status"] != m.EQUAL).alias("changed_columns"),
         n(lambda x: x["status"].isin(*m.SEVERE)).alias("severe_columns"),
         n(lambda x: x["status"] == m.FORMAT_ONLY).alias("format_only_columns"),
+        *more,
     )
     zero = [F.when(F.col("__b_row").isNotNull() & F.col("__a_row").isNotNull(), F.col(c)).otherwise(0).cast("long").alias(c) for c in ("changed_columns", "severe_columns", "format_only_columns")]
     status = F.when(F.col("__a_row").isNull(), m.ONLY_IN_BEFORE).when(F.col("__b_row").isNull(), m.ONLY_IN_AFTER).when(F.col("changed_columns") > 0, m.CHANGED).otherwise(m.SAME)
-    return counted.select("__pair_id", "__key", "__b_row", "__a_row", status.alias("row_status"), *zero)
+    return counted.select("__pair_id", "__key", "__b_row", "__a_row", status.alias("row_status"), *zero, *[f"`{n}`" for n in counted.columns[7:]])
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:

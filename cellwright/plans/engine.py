@@ -92,13 +92,14 @@ class CompareEngine:
         return self._profiles[at]
 
     def compare(self, before: DataFrame, after: DataFrame) -> Result:
-        """run() on two DataFrames: their columns are cast to text and their rows numbered."""
+        """run() on two DataFrames: their columns are cast to text and their rows numbered; what needs a shuffle is kept first."""
         from cellwright.sources.rowid import with_row_id
         from cellwright.sources.text import as_text
 
         for df, side in ((before, "before"), (after, "after")):
             align.guard(df.columns, side)
-        return self._run(*(Loaded(with_row_id(as_text(df)), df.columns, "", "frame") for df in (before, after)))
+        numbered = lambda df, side: with_row_id(as_text(df), keep=lambda x: self._keep(x, side))
+        return self._run(*(Loaded(numbered(df, side), df.columns, "", "frame") for df, side in ((before, "before"), (after, "after"))))
 
     def run(self) -> Result:
         return self._run(*self.load())
@@ -143,7 +144,7 @@ class CompareEngine:
             status, diff = self._keep(status, "row_status"), self._keep(diff, "diff_detail")
         status.createOrReplaceTempView("row_status")
         diff.createOrReplaceTempView("diff_detail")
-        self._views(cells, status, diff, key_columns)
+        self._views(cells, key_columns)
         self.log("summarising")
         with ThreadPoolExecutor(3) as pool:  # three small results of the same table, asked for together
             jobs = [pool.submit(x.collect) for x in (status.groupBy("row_status").count(), detail.cell_counts(cells), detail.format_breakdown(diff))]
@@ -167,12 +168,11 @@ class CompareEngine:
             found = anomaly.detect(anomaly.Evidence(c, stats, plans, before.df, after.df, {p.column: p for p in b_profiles}, {p.column: p for p in a_profiles}, breakdown, duplicates, unmatched))
         return Result(c, stats, columns, found, diff, status, pairs, plans, before.columns, after.columns, warnings)
 
-    def _views(self, cells: DataFrame, status: DataFrame, diff: DataFrame, key_columns: list[str]) -> None:
-        """v_row and v_diff: the same with the key columns' values. The row table carries them, and the detail gets them by the pair."""
+    def _views(self, cells: DataFrame, key_columns: list[str]) -> None:
+        """v_row and v_diff: the same with the key columns' values, which the rows carry along."""
         named = [F.coalesce(F.col("b")[k], F.col("a")[self.config.after_name(k)]).alias(f"key_{k}") for k in key_columns]
-        of = cells.select("__pair_id", *named)
-        (status.join(of, "__pair_id") if key_columns else status).createOrReplaceTempView("v_row")
-        (diff.join(of, "__pair_id") if key_columns else diff).createOrReplaceTempView("v_diff")
+        rows.row_status(cells, *named).createOrReplaceTempView("v_row")
+        detail.diff_detail(cells, *named).createOrReplaceTempView("v_diff")
 
     def _columns(self, before, lined, key_columns, ignored, plans, counts, stats, b_profiles, a_profiles) -> list[ColumnResult]:
         of, by_plan = dict(lined.pairs), {p.before: p for p in plans}

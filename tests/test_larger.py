@@ -43,6 +43,6 @@ def test_numbers_of_sorted_rows(spark, many):
     kept[0].unpersist()
 
 
-@pytest.mark.parametrize("name", ["row_view", "csv_export", "engine_columns", "diff_view", "engine_anomalies"])
+@pytest.mark.parametrize("name", ["row_view", "csv_export", "engine_columns", "diff_view", "engine_anomalies", "engine_stats"])
 def test_sorted_sides(spark, many, name):
     assert same(spark, many, name)

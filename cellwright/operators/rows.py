@@ -32,13 +32,13 @@ def side(df: DataFrame, key: Column, columns: list[str], prefix: str) -> DataFra
     return df.select(key.alias("__key"), F.col("__row_id"), values.alias(prefix))
 
 
-def paired(before: DataFrame, after: DataFrame, unique: bool = False, hot_keys: bool = False) -> DataFrame:
+def paired(before: DataFrame, after: DataFrame, unique: bool = False, hot_keys: bool = False, every: bool = False) -> DataFrame:
     """__key, __rank, __b_row, __a_row, b, a, __pair_id: the full outer join by key and rank.
 
     It is the only join of a comparison: rows carry their columns along. Where keys are known to be unique on
-    both sides, no rank is computed.
+    both sides, no rank is computed; with `every` neither, and a row meets all rows of its key.
     """
-    if unique:
+    if unique or every:
         b, a = before.withColumn("__rank", F.lit(1)), after.withColumn("__rank", F.lit(1))
         on = ["__key"]
         a = a.drop("__rank").withColumnRenamed("__row_id", "__a_row")
@@ -61,8 +61,9 @@ def with_cells(pairs: DataFrame, plans: list) -> DataFrame:
     return pairs.withColumn("cells", F.when(both, F.array(*cells)))
 
 
-def row_status(cells: DataFrame, *more: Column) -> DataFrame:
-    """One row for each pair: its status, and how many cells differ, severely or in format, and its columns `more`. No join and no shuffle: the row's own cells are counted."""
+def row_status(cells: DataFrame, *more: Column, by_id: bool = False) -> DataFrame:
+    """One row for each pair: its status, and how many cells differ, severely or in format, and its columns `more`. No join and no shuffle: the row's own
+    cells are counted. With `by_id`, for row ids that repeat, the cells of all pairs of an id count for each of them, which takes a shuffle."""
     n = lambda f: F.coalesce(F.size(F.filter("cells", f)), F.lit(0)).cast("long")
     counted = cells.select(
         "__pair_id", "__key", "__b_row", "__a_row",
@@ -71,6 +72,9 @@ def row_status(cells: DataFrame, *more: Column) -> DataFrame:
         n(lambda x: x["status"] == m.FORMAT_ONLY).alias("format_only_columns"),
         *more,
     )
+    if by_id:
+        of = Window.partitionBy("__pair_id")
+        counted = counted.withColumns({c: F.sum(c).over(of) for c in counted.columns[4:7]})
     zero = [F.when(F.col("__b_row").isNotNull() & F.col("__a_row").isNotNull(), F.col(c)).otherwise(0).cast("long").alias(c) for c in ("changed_columns", "severe_columns", "format_only_columns")]
     status = F.when(F.col("__a_row").isNull(), m.ONLY_IN_BEFORE).when(F.col("__b_row").isNull(), m.ONLY_IN_AFTER).when(F.col("changed_columns") > 0, m.CHANGED).otherwise(m.SAME)
     return counted.select("__pair_id", "__key", "__b_row", "__a_row", status.alias("row_status"), *zero, *[f"`{n}`" for n in counted.columns[7:]])

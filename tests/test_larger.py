@@ -46,3 +46,17 @@ def test_numbers_of_sorted_rows(spark, many):
 @pytest.mark.parametrize("name", ["row_view", "csv_export", "engine_columns", "diff_view", "engine_anomalies", "engine_stats"])
 def test_sorted_sides(spark, many, name):
     assert same(spark, many, name)
+
+
+@pytest.fixture(scope="module")
+def meeting(spark, tmp_path_factory):
+    """Orders of which some have the keys that the snapshots add for others."""
+    folder = str(tmp_path_factory.mktemp("meeting"))
+    o = spark.read.parquet(f"{SMALL}/orders.parquet")
+    o.unionAll(o.withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000).withColumn("o_totalprice", F.col("o_totalprice") + 1)).write.parquet(f"{folder}/orders.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["pair_full_outer"])
+def test_keys_that_meet(spark, meeting, name):
+    assert same(spark, meeting, name)

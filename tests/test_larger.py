@@ -57,6 +57,6 @@ def meeting(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["pair_full_outer", "abs_rel_diff", "cell_status_counts", "dataset_verdict", "diff_detail", "row_status_counts"])
+@pytest.mark.parametrize("name", ["pair_full_outer", "abs_rel_diff", "cell_status_counts", "dataset_verdict", "diff_detail", "row_status_counts", "column_summary"])
 def test_keys_that_meet(spark, meeting, name):
     assert same(spark, meeting, name)

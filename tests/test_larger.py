@@ -53,10 +53,10 @@ def meeting(spark, tmp_path_factory):
     """Orders of which some have the keys that the snapshots add for others."""
     folder = str(tmp_path_factory.mktemp("meeting"))
     o = spark.read.parquet(f"{SMALL}/orders.parquet")
-    o.unionAll(o.withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000).withColumn("o_totalprice", F.col("o_totalprice") + 1)).write.parquet(f"{folder}/orders.parquet")
+    o.withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000).withColumn("o_totalprice", F.col("o_totalprice") + 1).unionAll(o).coalesce(1).write.parquet(f"{folder}/orders.parquet")
     return folder
 
 
-@pytest.mark.parametrize("name", ["pair_full_outer", "abs_rel_diff", "cell_status_counts", "dataset_verdict", "diff_detail", "row_status_counts", "column_summary"])
+@pytest.mark.parametrize("name", ["pair_full_outer", "abs_rel_diff", "cell_status_counts", "dataset_verdict", "diff_detail", "row_status_counts", "column_summary", "diff_filtered"])
 def test_keys_that_meet(spark, meeting, name):
     assert same(spark, meeting, name)

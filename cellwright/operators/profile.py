@@ -75,13 +75,13 @@ def profile_frame(df: DataFrame, columns: list[str], config: Config | None = Non
     return out.select("column", *[F.col(c).cast(kinds.get(c, "long")).alias(c) for c in ("total", "nulls", "distinct", "numeric_ok", "leading_zero", "max_digits", "has_time", "date_like", "date_gate", "date_ok")], "min_value", "max_value")
 
 
-def profile(df: DataFrame, columns: list[str], config: Config | None = None, rows: int | None = None, names: dict[str, str] | None = None) -> list[ColumnProfile]:
-    """The profiles, in the order of the columns; distinct values are estimated above the configured number of rows."""
+def profile(df: DataFrame, columns: list[str], config: Config | None = None, rows: int | None = None, names: dict[str, str] | None = None, exact: bool = False) -> list[ColumnProfile]:
+    """The profiles, in the order of the columns; unless `exact`, distinct values are estimated above the configured number of rows."""
     if not columns:
         return []
     config = config or Config()
-    n = df.count() if rows is None else rows
-    found = {r["column"]: ColumnProfile(r["column"], {k: v for k, v in r.asDict().items() if k != "column"}) for r in profile_frame(df, columns, config, n > config.profile_exact_distinct_limit, names).collect()}
+    estimated = not exact and (df.count() if rows is None else rows) > config.profile_exact_distinct_limit
+    found = {r["column"]: ColumnProfile(r["column"], {k: v for k, v in r.asDict().items() if k != "column"}) for r in profile_frame(df, columns, config, estimated, names).collect()}
     return [found.get(c, ColumnProfile(c)) for c in columns]
 
 

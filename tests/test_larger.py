@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellwright import catalog
+from cellwright.config import Config
+from cellwright.operators import profile
 from cellwright.sources.rowid import with_row_id
 
 SMALL = "/root/testdata/sf0.001"
@@ -60,3 +62,9 @@ def meeting(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["pair_full_outer", "abs_rel_diff", "cell_status_counts", "dataset_verdict", "diff_detail", "row_status_counts", "column_summary", "diff_filtered"])
 def test_keys_that_meet(spark, meeting, name):
     assert same(spark, meeting, name)
+
+
+def test_exact_distinct_values(spark):
+    few = Config(profile_exact_distinct_limit=10)
+    df = spark.range(30_000).select(F.col("id").cast("string").alias("c"))
+    assert profile.profile(df, ["c"], few)[0].distinct != 30_000 and profile.profile(df, ["c"], few, exact=True)[0].distinct == 30_000

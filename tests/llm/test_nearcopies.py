@@ -1,6 +1,7 @@
 import random
 
-from cellwright.llm.nearcopies import near_copies
+from cellwright.llm import nearcopies
+from cellwright.llm.nearcopies import linked, near_copies
 from cellwright.llm.simhash import fingerprint
 from corpus_pipeline import near_dedup
 from tests.llm.conftest import make, prose
@@ -50,3 +51,20 @@ def test_stage_removes_near_copies_far_beyond_two_bits(spark):
     far = [i for i, c in expected.items() if c < i and ((fingerprint(every[i]) ^ fingerprint(every[c])) & (1 << 64) - 1).bit_count() > 2]
     kept = near_dedup(spark, make(spark, every), "")
     assert len(far) > 5 and {r["doc_id"] for r in kept.collect()} == set(expected.values())
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """Texts are linked by their fingerprints through multi-index hashing; a link of texts that are not alike is dropped by the exact check."""
+    base, asked = prose(900, 400), []
+    drowned = "again " * 4000
+    every = [base, f"{base} end", drowned, f"{drowned} {prose(901, 30)}", prose(902, 80)]
+    prints = [fingerprint(t, 5) for t in every]
+    apart = lambda i, j: ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count()
+    assert apart(0, 1) <= 2 and apart(2, 3) <= 2
+
+    pairs = linked(spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "fp long, node long")).collect()
+    assert {tuple(r) for r in pairs} == {(i, j) for i in range(5) for j in range(i + 1, 5) if apart(i, j) <= 2}
+
+    monkeypatch.setattr(nearcopies, "linked", lambda p: asked.append({r["fp"] for r in p.collect()}) or linked(p))
+    assert {r["doc_id"]: r["component_id"] for r in near_copies(make(spark, every)).collect()} == slow_components(every) == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    assert asked == [set(prints)]

@@ -16,6 +16,22 @@ from pyspark.sql import functions as F
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: What Python workers get at a time while results are cut, as `slices` deals it. Spark's own limits, 10,000 rows and 64 MB, let whole partitions of texts stand beside the heap in several copies.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, Arrow batches to Python workers hold 4 MB or so, however many rows that is; then the session's limit holds again."""
+    name, most = _BATCH
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; a temporary one only in local mode, where none is named."""
     sc = spark.sparkContext
@@ -36,7 +52,8 @@ def cut(df: DataFrame, free: bool = False) -> DataFrame:
     collection would get to them late. Only for a df that is used for nothing else.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        out = df.checkpoint(eager=True)
     cleaner = df.sparkSession.sparkContext._jsc.sc().cleaner()
     if free and cleaner.isDefined():
         for number in _shuffles(df._jdf.queryExecution().executedPlan()):

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from py4j.protocol import Py4JError
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,15 +48,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
+_TWICE: ContextVar[bool] = ContextVar("twice", default=False)
+
+
+@contextlib.contextmanager
+def kept_twice() -> Iterator[None]:
+    """Within it, what `cut` gets lies on the disks of two executors in place of a shared folder of scheme file.
+
+    There Hadoop, without its native library, starts a process for each file and each checksum file that it
+    creates (chmod), dozens of thousands where small tables are cut in hundreds of partitions. In other
+    stores, and with fewer than two executors, the shared folder stays.
+    """
+    token = _TWICE.set(True)
+    try:
+        yield
+    finally:
+        _TWICE.reset(token)
+
+
+def executors(spark: SparkSession) -> int:
+    return spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1  # the driver is among them
+
+
+def cut(df: DataFrame, free: bool = False, large: bool = False) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there, so that lost executors cost no recomputation.
 
+    Within `kept_twice` it may lie on two executors' disks instead, unless it is large, as a table that grows with the texts' length.
     free: also remove the shuffle files that this wrote, which nothing reads any more; the driver's garbage
     collection would get to them late. Only for a df that is used for nothing else.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
+    twice = _TWICE.get() and not large and folder.startswith("file:") and executors(df.sparkSession) > 1
     with small_batches(df.sparkSession):
-        out = df.checkpoint(eager=True)
+        out = df.localCheckpoint(eager=True, storageLevel=StorageLevel.DISK_ONLY_2) if twice else df.checkpoint(eager=True)
     cleaner = df.sparkSession.sparkContext._jsc.sc().cleaner()
     if free and cleaner.isDefined():
         for number in _shuffles(df._jdf.queryExecution().executedPlan()):
@@ -100,8 +128,15 @@ def text_of(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
+def give_back() -> None:
+    """Return to the system what Arrow and the C library have been given back: a worker lives on between tasks, and would hold it beside the heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in pieces of about `most` bytes of text (column number `text`), so that Python holds little at once."""
+    """The rows of batches in pieces of about `most` bytes of text (column number `text`), so that Python holds little at once. What a batch took is given back after it."""
     for batch in batches:
         start, n = 0, batch.num_rows
         if n == 0:
@@ -114,6 +149,9 @@ def slices(batches: Iterable[pa.RecordBatch], text: int, most: int = 4 << 20) ->
                 end = start + (end - start) // 2
             yield batch.slice(start, end - start)
             start = end
+        if size > most >> 2:
+            give_back()
+    give_back()
 
 
 def running_total(df: DataFrame, keys: list[str], value: str, order: list[str], out: str, rows_each: int = 50_000) -> DataFrame:

@@ -33,7 +33,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = docs[text_col].cast("string")
     hashed = F.transform(F.split(text, "\n"), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(width), x).alias("b")))
     lined = docs.filter(text.isNotNull()).select(docs[id_col].alias("id"), F.xxhash64(text).alias("hash"), hashed.alias("lines"))
-    every = cut(lined.select("id", "hash", F.explode(windows(F.col("lines"), width)).alias("w")).select("id", "hash", "w.at", "w.w1", "w.w2"))
+    every = cut(lined.select("id", "hash", F.explode(windows(F.col("lines"), width)).alias("w")).select("id", "hash", "w.at", "w.w1", "w.w2"), large=True)
     place = F.struct("id", "hash", "at")
     first = every.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("w1", "w2", "first")
     later = every.join(first, ["w1", "w2"]).filter(place > F.col("first"))

@@ -203,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, quantum: int = 256
     if window % quantum:
         raise ValueError("window is not a multiple of quantum")
     spark = docs.sparkSession
-    tokens = cut(tokenized(docs, tokenizer, end_id, id_col, text_col, source_col))
+    tokens = cut(tokenized(docs, tokenizer, end_id, id_col, text_col, source_col), large=True)
     runs = cut(tokens.groupBy("source", "task").agg(F.sum("doc_tokens").alias("n")))
     totals = {r[0]: r[1] for r in runs.groupBy("source").agg(F.sum("n")).collect()}  # a row a source
     weight = weights(totals, targets)

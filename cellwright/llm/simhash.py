@@ -95,6 +95,9 @@ def links(prints: DataFrame, fp: str = "fp", crowd: int = 64) -> DataFrame:
     A slot that holds more than `crowd` fingerprints, as a family of near copies makes it, is split:
     whatever probes it is set aside, and among those whole words take the segment's place (see
     `_stars`: 65 rows a fingerprint, no pairs). So every link counts, and no slot costs its square.
+
+    Both joins are told to sort: Spark sizes an exploded table by the rows before the explode, and would
+    broadcast the probes, 17 and more times that, through the driver.
     """
     spark = prints.sparkSession
     parts = partitions(spark)
@@ -102,11 +105,11 @@ def links(prints: DataFrame, fp: str = "fp", crowd: int = 64) -> DataFrame:
     own = prints.select(F.col(fp).alias("a")).repartition(parts, "a")
     table = own.select(F.col("a").alias("b"), F.explode(_slots(F.col("a"))).alias("slot"))
     sizes = table.groupBy("slot").agg(F.count("*").alias("n"))
-    held = table.join(sizes.filter(F.col("n") <= crowd).select("slot"), "slot").select("slot", "b")
+    held = table.hint("merge").join(sizes.filter(F.col("n") <= crowd).select("slot"), "slot").select("slot", "b")
     fetched = held.union(sizes.filter(F.col("n") > crowd).select("slot", F.lit(None).cast("long")))
     asked = own.select("a", F.explode(F.flatten(F.transform(_slots(F.col("a")), _probes))).alias("slot"))
     near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
-    found = cut(asked.join(fetched, "slot").filter(F.col("b").isNull() | near).select("a", "b"))
+    found = cut(asked.hint("merge").join(fetched, "slot").filter(F.col("b").isNull() | near).select("a", "b"))
     stars = _stars(found.filter("b is null").select("a").distinct().repartition(parts, "a"))
     return found.filter("b is not null").union(stars)
 

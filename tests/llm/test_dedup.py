@@ -6,7 +6,8 @@ from collections import Counter
 import xxhash
 from pyspark.sql import functions as F
 
-from cellwright.llm import sharding
+from cellwright.llm import sharding, simhash
+from cellwright.llm.common import cut
 from cellwright.llm.graph import connected_components
 from cellwright.llm.lcp import edited, fingerprints, likeness, sketches
 from cellwright.llm.linededup import dedup_lines
@@ -74,6 +75,16 @@ def test_links_find_all_within_two_bits(spark):
     assert pairs == {tuple(sorted(x)) for x in near}
 
 
+def test_probes_are_not_broadcast(spark, monkeypatch):
+    """However few rows Spark takes an exploded table for."""
+    seen = []
+    monkeypatch.setattr(simhash, "cut", lambda df, **more: seen.append(df) or cut(df, **more))
+    r = random.Random(11)
+    links(spark.createDataFrame([(signed(r.getrandbits(64)),) for _ in range(3000)], "fp long"))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(seen) == 1 and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_long_chains(spark):
     r = random.Random(3)
     names = list(range(400))

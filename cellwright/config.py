@@ -90,6 +90,8 @@ class KeyOptions:
     numeric_normalize: bool = False
     auto_detect: bool = True
     use_row_index_if_no_key: bool = False
+    #: A row meets all rows of its key, as in a join, in place of the one of its occurrence; the pairs of a key share their status, and repeated keys are no anomaly.
+    meet_all: bool = False
 
 
 @dataclass

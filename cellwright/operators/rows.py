@@ -61,9 +61,9 @@ def with_cells(pairs: DataFrame, plans: list) -> DataFrame:
     return pairs.withColumn("cells", F.when(both, F.array(*cells)))
 
 
-def row_status(cells: DataFrame, *more: Column, by_id: bool = False) -> DataFrame:
+def row_status(cells: DataFrame, *more: Column, by_id: bool = False, by_key: bool = False) -> DataFrame:
     """One row for each pair: its status, and how many cells differ, severely or in format, and its columns `more`. No join and no shuffle: the row's own
-    cells are counted. With `by_id`, for row ids that repeat, the cells of all pairs of an id count for each of them, which takes a shuffle."""
+    cells are counted. With `by_id`, for row ids that repeat, the cells of all pairs of an id count for each of them, which takes a shuffle; with `by_key` those of all pairs of a key."""
     n = lambda f: F.coalesce(F.size(F.filter("cells", f)), F.lit(0)).cast("long")
     counted = cells.select(
         "__pair_id", "__key", "__b_row", "__a_row",
@@ -72,8 +72,8 @@ def row_status(cells: DataFrame, *more: Column, by_id: bool = False) -> DataFram
         n(lambda x: x["status"] == m.FORMAT_ONLY).alias("format_only_columns"),
         *more,
     )
-    if by_id:
-        of = Window.partitionBy("__pair_id")
+    if by_id or by_key:
+        of = Window.partitionBy("__pair_id" if by_id else "__key")
         counted = counted.withColumns({c: F.sum(c).over(of) for c in counted.columns[4:7]})
     zero = [F.when(F.col("__b_row").isNotNull() & F.col("__a_row").isNotNull(), F.col(c)).otherwise(0).cast("long").alias(c) for c in ("changed_columns", "severe_columns", "format_only_columns")]
     status = F.when(F.col("__a_row").isNull(), m.ONLY_IN_BEFORE).when(F.col("__b_row").isNull(), m.ONLY_IN_AFTER).when(F.col("changed_columns") > 0, m.CHANGED).otherwise(m.SAME)

@@ -136,15 +136,16 @@ class CompareEngine:
         b_side, a_side = rows.side(before.df, b_key, before.columns, "b"), rows.side(after.df, a_key, after.columns, "a")
         b_dup, a_dup = (rows.duplicate_groups(s.select("__key")) for s in (b_side, a_side))
         n_dup = (b_dup.count(), a_dup.count()) if key_columns else (0, 0)
-        pairs = rows.paired(b_side, a_side, unique=n_dup == (0, 0), hot_keys=True)
+        repeated = c.key_options.meet_all and n_dup != (0, 0)
+        pairs = rows.paired(b_side, a_side, unique=n_dup == (0, 0), hot_keys=True, every=repeated)
         self.log("comparing")
         cells = self._keep(rows.with_cells(pairs, plans), "cells")
-        status, diff = rows.row_status(cells), detail.diff_detail(cells)
+        status, diff = rows.row_status(cells, by_key=repeated), detail.diff_detail(cells)
         if c.work_db and c.keep_intermediate:
             status, diff = self._keep(status, "row_status"), self._keep(diff, "diff_detail")
         status.createOrReplaceTempView("row_status")
         diff.createOrReplaceTempView("diff_detail")
-        self._views(cells, key_columns)
+        self._views(cells, key_columns, repeated)
         self.log("summarising")
         with ThreadPoolExecutor(3) as pool:  # three small results of the same table, asked for together
             jobs = [pool.submit(x.collect) for x in (status.groupBy("row_status").count(), detail.cell_counts(cells), detail.format_breakdown(diff))]
@@ -168,10 +169,10 @@ class CompareEngine:
             found = anomaly.detect(anomaly.Evidence(c, stats, plans, before.df, after.df, {p.column: p for p in b_profiles}, {p.column: p for p in a_profiles}, breakdown, duplicates, unmatched))
         return Result(c, stats, columns, found, diff, status, pairs, plans, before.columns, after.columns, warnings)
 
-    def _views(self, cells: DataFrame, key_columns: list[str]) -> None:
+    def _views(self, cells: DataFrame, key_columns: list[str], by_key: bool = False) -> None:
         """v_row and v_diff: the same with the key columns' values, which the rows carry along."""
         named = [F.coalesce(F.col("b")[k], F.col("a")[self.config.after_name(k)]).alias(f"key_{k}") for k in key_columns]
-        rows.row_status(cells, *named).createOrReplaceTempView("v_row")
+        rows.row_status(cells, *named, by_key=by_key).createOrReplaceTempView("v_row")
         detail.diff_detail(cells, *named).createOrReplaceTempView("v_diff")
 
     def _columns(self, before, lined, key_columns, ignored, plans, counts, stats, b_profiles, a_profiles) -> list[ColumnResult]:

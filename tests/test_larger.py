@@ -68,3 +68,8 @@ def test_exact_distinct_values(spark):
     few = Config(profile_exact_distinct_limit=10)
     df = spark.range(30_000).select(F.col("id").cast("string").alias("c"))
     assert profile.profile(df, ["c"], few)[0].distinct != 30_000 and profile.profile(df, ["c"], few, exact=True)[0].distinct == 30_000
+
+
+@pytest.mark.parametrize("name", ["csv_export", "report_verdict"])
+def test_comparisons_of_keys_that_meet(spark, meeting, name):
+    assert same(spark, meeting, name)

@@ -154,7 +154,8 @@ class Config:
     output_dir: str = "output"
     work_db: str = ""
     keep_intermediate: bool = True
-    profile_exact_distinct_limit: int = 2_000_000
+    #: Above so many rows a profile's distinct values are estimated; not set, they are exact at any size.
+    profile_exact_distinct_limit: int | None = None
     memory_limit: str = ""
     threads: int = 0
     temp_dir: str = ""

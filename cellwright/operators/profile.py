@@ -76,11 +76,12 @@ def profile_frame(df: DataFrame, columns: list[str], config: Config | None = Non
 
 
 def profile(df: DataFrame, columns: list[str], config: Config | None = None, rows: int | None = None, names: dict[str, str] | None = None, exact: bool = False) -> list[ColumnProfile]:
-    """The profiles, in the order of the columns; unless `exact`, distinct values are estimated above the configured number of rows."""
+    """The profiles, in the order of the columns; distinct values are exact, unless a number of rows is configured above which they are estimated, and not `exact` asked for."""
     if not columns:
         return []
     config = config or Config()
-    estimated = not exact and (df.count() if rows is None else rows) > config.profile_exact_distinct_limit
+    limit = None if exact else config.profile_exact_distinct_limit
+    estimated = limit is not None and (df.count() if rows is None else rows) > limit
     found = {r["column"]: ColumnProfile(r["column"], {k: v for k, v in r.asDict().items() if k != "column"}) for r in profile_frame(df, columns, config, estimated, names).collect()}
     return [found.get(c, ColumnProfile(c)) for c in columns]
 

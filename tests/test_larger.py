@@ -73,3 +73,9 @@ def test_exact_distinct_values(spark):
 @pytest.mark.parametrize("name", ["csv_export", "report_verdict"])
 def test_comparisons_of_keys_that_meet(spark, meeting, name):
     assert same(spark, meeting, name)
+
+
+def test_distinct_values_of_many_rows(spark):
+    """Unless a limit is configured, exact at any number of rows."""
+    df = spark.range(30_000).select(F.col("id").cast("string").alias("c"))
+    assert profile.profile(df, ["c"], rows=3_000_000)[0].distinct == 30_000

@@ -70,7 +70,7 @@ def test_exact_distinct_values(spark):
     assert profile.profile(df, ["c"], few)[0].distinct != 30_000 and profile.profile(df, ["c"], few, exact=True)[0].distinct == 30_000
 
 
-@pytest.mark.parametrize("name", ["csv_export", "report_verdict", "engine_anomalies", "diff_view", "engine_columns", "engine_stats"])
+@pytest.mark.parametrize("name", ["csv_export", "report_verdict", "engine_anomalies", "diff_view", "engine_columns", "engine_stats", "row_view"])
 def test_comparisons_of_keys_that_meet(spark, meeting, name):
     assert same(spark, meeting, name)
 

@@ -1,6 +1,7 @@
 import random
 
-from cellwright.llm import nearcopies
+from cellwright.llm import nearcopies, simhash
+from cellwright.llm.common import cut
 from cellwright.llm.nearcopies import linked, near_copies
 from cellwright.llm.simhash import fingerprint
 from corpus_pipeline import near_dedup
@@ -68,3 +69,11 @@ def test_fingerprints_link_first(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "linked", lambda p: asked.append({r["fp"] for r in p.collect()}) or linked(p))
     assert {r["doc_id"]: r["component_id"] for r in near_copies(make(spark, every)).collect()} == slow_components(every) == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
     assert asked == [set(prints)]
+
+
+def test_linking_broadcasts_no_probes(spark, monkeypatch):
+    """The pipeline's fingerprints: however few rows Spark takes the exploded probes for."""
+    seen, r = [], random.Random(12)
+    monkeypatch.setattr(simhash, "cut", lambda df, **more: seen.append(df) or cut(df, **more))
+    linked(spark.createDataFrame([(r.getrandbits(63), k) for k in range(3000)], "fp long, node long"))
+    assert len(seen) == 1 and "Broadcast" not in seen[0]._jdf.queryExecution().executedPlan().toString()
